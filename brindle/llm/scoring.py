@@ -259,7 +259,7 @@ def score_texts(docs: DataFrame, training: Column, path: str | None = None, samp
     size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slim = slim.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(-(-size // BLOCK_BYTES) or 1)))
     by_block = slim.groupBy("block")
-    words = by_block.applyInArrow(_block_words, "block long, word string, n long")
+    words = staged(by_block.applyInArrow(_block_words, "block long, word string, n long"), "block-words")
 
     # what a word costs is looked up once for the whole corpus
     counted = words.groupBy("word").agg(F.sum("n").alias("c"))
