@@ -101,7 +101,7 @@ class StreamingDedup:
             by_text = mixed.groupBy("digest", "bytes").agg(F.max(best).alias("best"), F.count("*").alias("group_size"))
             apart = mixed.join(by_text, ["digest", "bytes"]).select(*light.columns, "best", "group_size")
             light, groups = light.join(differ, "digest", "left_anti"), groups.join(differ, "digest", "left_anti")
-            found = light.join(groups, "digest").select(*light.columns, "best", "group_size").union(apart)
+            found = light.join(groups, "digest").select(*light.columns, "best", "group_size").unionByName(apart)
         else:
             found = light.join(groups, "digest")
         return found.select("row", "id", (-F.col("best.minus_id")).alias("keep_id"), "group_size", ((F.col("file") == F.col("best.file")) & (F.col("seq") == -F.col("best.minus_seq"))).alias("kept"), "digest")
