@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import chunks, documents, ragged
 
@@ -379,7 +380,5 @@ def with_tokens(docs: DataFrame, model: str | None = None) -> DataFrame:
             arrays = [pa.ListArray.from_arrays(bounds, pa.array(x.astype(np.int32))) for x in (ids, starts, ends)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*names, "ids", "starts", "ends"])
 
-    schema = docs.schema
-    for c in ("ids", "starts", "ends"):
-        schema = schema.add(c, "array<int>")
-    return docs.mapInArrow(run, schema)
+    added = [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("ids", "starts", "ends")]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))

@@ -76,19 +76,21 @@ def hamming_links(fps: DataFrame, radius: int = 3, tile: int = TILE) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            found, same = [], batch.column("same").to_pylist()
             (xo, xv), (yo, yv) = ((c.offsets.to_numpy(), c.values.to_numpy().view(np.uint64)) for c in (batch.column("x"), batch.column("y")))
             for i in range(batch.num_rows):
                 x, y = xv[xo[i] : xo[i + 1]], yv[yo[i] : yo[i + 1]]
                 near = np.bitwise_count(x[:, None] ^ y[None, :]) <= radius
                 if near.any():
                     a, b = np.nonzero(near)
-                    found.append((x[a], y[b]))
+                    once = a < b if same[i] else a >= 0
+                    found.append((x[a[once]], y[b[once]]))
             if found:
                 a, b = (np.concatenate(z).view(np.int64) for z in zip(*found))
-                yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return pairs.select("x", F.col("fps").alias("y")).mapInArrow(run, "a long, b long")
+    same = ((F.col("t1") == F.col("tile")) & (F.col("c1") == F.col("chunk"))).alias("same")
+    return pairs.select("x", F.col("fps").alias("y"), same).mapInArrow(run, "a long, b long")
 
 
 def simhash_components(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
