@@ -53,9 +53,9 @@ def parse_facet(index: Index, text: str) -> Facet:
             dates = path.leaf.item == "Edm.DateTimeOffset"
             if dates and value not in UNITS or not dates and path.leaf.item not in NUMBERS:
                 raise RequestError(f"bad interval {value}")
+            if not dates and not (re.fullmatch(r"\d+(\.\d+)?", value) and float(value) > 0):
+                raise RequestError("an interval is a number above 0")
             facet.interval = value if dates else float(value)
-            if not dates and facet.interval <= 0:
-                raise RequestError("an interval is above 0")
         elif key == "timeoffset":
             m = re.fullmatch(r"([+-])(\d\d):?(\d\d)?", value)
             if not m or int(m[2]) > 14:
