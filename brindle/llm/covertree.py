@@ -112,11 +112,14 @@ def dual(x: dict, y: dict, same: bool, cosine: float) -> tuple[np.ndarray, np.nd
     start_x, start_y = x["levels"][0][0], y["levels"][0][0]
     first: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     rx, ry = x["levels"][0][2], y["levels"][0][2]
+    wide = np.flatnonzero(ry > 0)
     for s in range(0, len(start_x), STRIP):
         cos = vx[start_x[s : s + STRIP]] @ vy[start_y].T
         # |a - b| <= t exactly where cos >= 1 - t^2 / 2
-        t = reach + EPS + rx[s : s + STRIP, None] + ry[None, :]
-        keep = cos >= 1 - t * t / 2
+        t = reach + EPS + rx[s : s + STRIP, None]
+        keep = cos >= 1 - t * t / 2  # holds for single points of y; its wider nodes follow
+        t = t + ry[None, wide]
+        keep[:, wide] = cos[:, wide] >= 1 - t * t / 2
         if same:
             keep &= np.arange(s, s + len(cos))[:, None] <= np.arange(len(start_y))[None, :]
         i, j = np.nonzero(keep)
