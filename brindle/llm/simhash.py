@@ -7,10 +7,15 @@ the summed difference of those counts, so tile pairs for which it is beyond the
 Defined results: a null or empty text, or one of white space, has fingerprint zero and links like any other; equal
 fingerprints are one class; extra columns are ignored; a repeated row counts once more but changes no component; a null
 doc_id has a fingerprint, and its component is the smallest id that is not null (null if there is none).
+
+The pipeline's near_dedup stage (drop_near_copies) has settings of its own: near copies are texts whose sets of five-word
+shingles have a Jaccard similarity of 0.8 or more.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 from itertools import accumulate, product
 
@@ -24,6 +29,9 @@ from .common import chunks, connected_components, documents, shared_dir
 
 #: Fingerprints in one tile row, about.
 TILE = 1024
+#: The pipeline's stage: words of a shingle, least Jaccard similarity (4/5 in the code), bits of 128 that candidates may
+#: differ in, and sets in a tile. At 0.8 the bits differ in 19 +- 4 places, those of unrelated texts in 64 +- 6.
+NEAR_WIDTH, NEAR_SHARE, NEAR_RADIUS, NEAR_TILE = 5, 0.8, 40, 4096
 
 
 def shingle_hashes(text: bytes, width: int) -> list[int]:
@@ -110,9 +118,116 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingles(text: bytes, width: int = NEAR_WIDTH) -> set[bytes]:
+    words = text.lower().split()
+    if len(words) <= width:
+        return {b" ".join(words)} if words else set()
+    return {b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)}
+
+
+def wide_fingerprints(docs: DataFrame) -> DataFrame:
+    """(id, digest, n, lo, hi): the digest and size of the set of shingles, and a SimHash of 128 bits of its distinct members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = xxhash.xxh3_128_digest
+        for batch in chunks(batches, "text", 1 << 20):
+            digests, sizes, fps = [], [], np.zeros((batch.num_rows, 2), np.uint64)
+            for i, t in enumerate(batch.column("text").to_pylist()):
+                words = (t or "").encode().lower().split()
+                joined = b" ".join(words)
+                ends = list(accumulate((len(w) + 1 for w in words)))
+                raw = b"".join([h(joined[a : b - 1]) for a, b in zip([0, *ends], ends[NEAR_WIDTH - 1 :] or ends[-1:])])
+                two = np.frombuffer(raw, np.uint64).reshape(-1, 2)
+                two = two[np.lexsort((two[:, 1], two[:, 0]))]
+                two = two[np.concatenate([[True], (two[1:] != two[:-1]).any(axis=1)])] if len(two) else two
+                digests.append(hashlib.blake2b(two.tobytes(), digest_size=16).digest())
+                sizes.append(len(two))
+                if len(two):
+                    ones = np.zeros(128, np.int64)
+                    for k in range(0, len(two), 4096):
+                        ones += np.unpackbits(two[k : k + 4096].view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+                    fps[i] = np.packbits(2 * ones > len(two)).view(np.uint64)
+            lo, hi = (pa.array(np.ascontiguousarray(fps[:, k]).view(np.int64)) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), lo, hi], ["id", "digest", "n", "lo", "hi"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, digest binary, n long, lo long, hi long")
+
+
+def near_candidates(sets: DataFrame, radius: int = NEAR_RADIUS, tile: int = NEAR_TILE) -> DataFrame:
+    """(a, b) for all pairs of sets (node, n, lo, hi) that differ in radius of 128 bits at most and whose sizes allow NEAR_SHARE.
+
+    Sizes a factor of 1.25 apart at most lie in the same step of the logarithm or in neighbouring ones, so only tiles of
+    such steps meet. Inside, every pair is compared.
+    """
+    keyed = sets.where("n > 0").withColumn("step", F.floor(F.log("n") / F.lit(math.log(1.2501))).cast("int"))
+    sizes = {r["step"]: r["n"] for r in keyed.groupBy("step").agg(F.ceil(F.count("*") / tile).cast("int").alias("n")).collect()}  # one row a step
+    if not sizes:
+        return sets.sparkSession.createDataFrame([], "a long, b long")
+    number = F.create_map(*(F.lit(x) for kv in sizes.items() for x in kv))
+    tiles = keyed.withColumn("chunk", F.pmod(F.xxhash64("node"), F.element_at(number, F.col("step"))).cast("int"))
+    tiles = tiles.groupBy("step", "chunk").agg(F.collect_list("node").alias("node"), *(F.collect_list(c).alias(c) for c in ("n", "lo", "hi"))).checkpoint()
+    here = F.transform(F.sequence("chunk", F.element_at(number, F.col("step")) - 1), lambda c: F.struct(F.col("step").alias("step"), c.alias("chunk")))
+    above = F.coalesce(F.try_element_at(number, F.col("step") + 1), F.lit(0))
+    there = F.when(above > 0, F.transform(F.sequence(F.lit(0), above - 1), lambda c: F.struct((F.col("step") + 1).alias("step"), c.alias("chunk")))).otherwise(F.slice(here, 1, 0))
+    names = ("node", "n", "lo", "hi")
+    left = tiles.select(F.col("step").alias("s1"), F.col("chunk").alias("c1"), *(F.col(c).alias(f"{c}1") for c in names), F.explode(F.concat(here, there)).alias("o"))
+    left = left.select("s1", "c1", *(f"{c}1" for c in names), "o.step", "o.chunk")
+    same = ((F.col("s1") == F.col("step")) & (F.col("c1") == F.col("chunk"))).alias("same")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                x, y = ([np.asarray(batch.column(c + k)[row].values) for c in names] for k in ("1", ""))
+                once = batch.column("same")[row].as_py()
+                for i in range(0, len(x[0]), 64):
+                    node, n, lo, hi = (c[i : i + 64, None] for c in x)
+                    apart = np.bitwise_count(lo.view(np.uint64) ^ y[2].view(np.uint64)) + np.bitwise_count(hi.view(np.uint64) ^ y[3].view(np.uint64))
+                    a, b = np.nonzero(apart <= radius)
+                    p, q = n[a, 0], y[1][b]
+                    good = np.minimum(p, q) * 5 >= np.maximum(p, q) * 4
+                    if once:
+                        good &= a + i < b
+                    if good.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(node[a[good], 0]), pa.array(y[0][b[good]])], ["a", "b"])
+
+    return left.join(tiles, ["step", "chunk"]).select(*(c + k for k in ("1", "") for c in names), same).mapInArrow(run, "a long, b long")
+
+
+def near_links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs of ids whose texts' sets of shingles have a Jaccard similarity of NEAR_SHARE at least, counted exactly."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: tuple = (None, set())
+        for batch in batches:
+            a, b, good = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
+            for i in range(batch.num_rows):
+                x = batch.column("x")[i].as_py()
+                if kept[0] != x:
+                    kept = (x, shingles((x or "").encode()))
+                y = shingles((batch.column("y")[i].as_py() or "").encode())
+                common = len(kept[1] & y)
+                good.append(5 * common >= 4 * (len(kept[1]) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()).filter(pa.array(good, pa.bool_())) for c in (a, b)], ["a", "b"])
+
+    found = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+    return found.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component, the smallest doc_id's; rows that repeat it wholly go too, and rows without an id stay."""
-    found = simhash_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    """docs with one row of each component of near copies, the smallest doc_id's.
+
+    Near copies share NEAR_SHARE of their sets of five-word shingles; a text of five words or fewer is one shingle, and
+    texts without words are equal. Repeats of the kept row go too if another row names them; rows without an id take no
+    part and stay. A 128-bit SimHash of the sets proposes pairs, which exact Jaccard similarity then decides.
+    """
+    shared_dir(docs.sparkSession)
     named = docs.where("doc_id is not null")
-    kept = named.join(found, named["doc_id"] == found["_gone"], "left_anti")
+    marks = wide_fingerprints(named).checkpoint()
+    sets = marks.groupBy("digest").agg(F.min("id").alias("node"), *(F.first(c).alias(c) for c in ("n", "lo", "hi"))).checkpoint()
+    links = near_links(named, near_candidates(sets).checkpoint())
+    comp = connected_components(links)
+    classes = sets.select("digest", "node").join(comp, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+    gone = marks.join(classes, "digest").where("id <> component").select(F.col("id").alias("_gone")).distinct()
+    kept = named.join(gone, named["doc_id"] == gone["_gone"], "left_anti")
     return kept.unionByName(docs.where("doc_id is null"))

@@ -100,6 +100,30 @@ def test_hamming_links_are_complete(spark):
         assert got == {frozenset((a, b)) for i, a in enumerate(fps) for b in fps[i + 1 :] if (a ^ b).bit_count() <= 3} and len(got) == len(found)
 
 
+def test_near_copies_of_the_pipeline(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = []
+    for size in (12, 40, 200, 900):
+        for _ in range(12):
+            words = [f"w{rng.randrange(5000)}" for _ in range(size)]
+            texts.append(" ".join(words))
+            for _ in range(2):
+                copy = list(words)
+                for _ in range(rng.randrange(1, max(2, size // 45 + 2))):
+                    copy[rng.randrange(size)] = f"new{rng.randrange(99)}"
+                texts.append(" ".join(copy))
+    texts += ["", None, "a b", "A  b", "a c"]
+    sets = [simhash.shingles((t or "").encode()) for t in texts]
+    jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    near = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if jaccard(sets[i], sets[j]) >= 0.8]
+    assert sum((fingerprint(texts[i], 3) ^ fingerprint(texts[j], 3)).bit_count() > 3 for i, j in near) > 10
+    want = sorted(set(roots(range(len(texts)), near).values()))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_copies(df).collect()) == want and len(want) < len(texts)
+    sets = simhash.wide_fingerprints(df).withColumnRenamed("id", "node")
+    assert simhash.near_candidates(sets, tile=7).count() == simhash.near_candidates(sets).count()
+
+
 def test_mixing(spark, docs):
     assert mixing.poisson_steps(0.0) == [] and mixing.poisson_steps(700.0)[-1] == pytest.approx(1)
     df = spark.range(6000).selectExpr("id doc_id", "case when id < 3000 then 'src0' when id < 4500 then 'src1' end source", "'text' text")
