@@ -5,6 +5,13 @@ Every text is scanned by the base patterns. Then a worklist unwraps layers: perc
 of the original text. A layer whose content was seen before in this document isn't entered again, so cycles end; layers
 shrink or repeat, so the list runs to its fixpoint.
 
+Decoded bytes need not be text: a byte that is no UTF-8 is one character that no pattern matches, with its own place. A
+run of base64 goes on over line breaks (with blanks beside them) and is decoded at all four alignments, so neither what
+stands before it nor a line's length hides it. Compressed data may begin at any byte of a run. It is unpacked as a stream
+of pieces, through all members and any depth of direct nesting; a broken or cut stream counts as far as it unpacks. All
+that is found in it has the range of the stream's characters. Pieces are cut where no pattern and no layer is; only an
+unbroken run of over HOLD bytes inside compressed data is cut within, with an overlap of PIECE.
+
 Defined results: a null text counts as empty, an empty one has no spans; a span that two ways find is listed once; very long
 texts are scanned whole; repeated rows give repeated results; extra columns are ignored.
 """
@@ -12,11 +19,12 @@ texts are scanned whole; repeated rows give repeated results; extra columns are
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,13 +40,22 @@ ASSIGN = re.compile(rf"""({_WORDS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = re.compile("AKIA[A-Z0-9]{16,}")
 HEX = re.compile("[0-9a-f]{24,}")
 ASSIGN_HINT = r"(?i)passw|secret|token|api_?key"
-LAYER_HINT = r"%[0-9A-Fa-f]{2}|\\[ux]|[A-Za-z0-9+/_-]{16}"
+LAYER_HINT = r"%[0-9A-Fa-f]{2}|\\[ux]|(?:[A-Za-z0-9+/_-](?:[\t ]*(?:\r\n|\r|\n)[\t ]*)?){16}"
 
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-#: A compressed layer may unfold to this many bytes at most; beyond, it counts as no text.
-MAX_UNFOLD = 16 << 20
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]+(?:[\t ]*(?:\r\n|\r|\n)[\t ]*[A-Za-z0-9+/_-]+)*")
+_BREAKS = re.compile(r"[\t\r\n ]+")
+#: Bytes without a match have neither a secret nor a layer; over line breaks, a run may be as short as 16 characters.
+_OF_USE = re.compile(
+    rb"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[ux]|[A-Za-z0-9+/_-](?:(?:[\t ]*(?:\r\n|\r|\n)[\t ]*)?[A-Za-z0-9+/_-]){15}"
+)
+_GZIP = b"\x1f\x8b\x08"
+_PACKED = re.compile(rb"\x1f\x8b\x08|[\x08\x18\x28\x38\x48\x58\x68\x78](?=[\x00-\x1f\x40-\x5f\x80-\x9f\xc0-\xdf])")
+#: What no pattern and no layer goes across: pieces of a stream are cut behind it.
+_GAP = re.compile(rb"[^A-Za-z0-9+/_.=:%\\\"'\t\r\n -]")
+#: Bytes that a stream is unpacked by, and that are held of a run without a gap.
+PIECE, HOLD = 1 << 20, 8 << 20
 
 Span = tuple[int, int, int]
 
@@ -94,15 +111,19 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     return Layer("".join(out), None if layer.whole else starts, None if layer.whole else ends, layer.whole)
 
 
-def _percent(m: re.Match) -> list[tuple[str, int, int]] | None:
-    raw = bytes.fromhex(m.group().replace("%", ""))
-    try:
-        chars, at = raw.decode(), 0
-    except UnicodeDecodeError:
-        return None
-    parts = []
-    for c in chars:
-        n = 3 * len(c.encode())
+def _lenient(raw: bytes) -> str:
+    """raw as text; each byte that is no UTF-8 is a lone surrogate of its own."""
+    return raw.decode("utf-8", "surrogateescape")
+
+
+def _width(c: str) -> int:
+    return 1 if "\udc80" <= c <= "\udcff" else len(c.encode())
+
+
+def _percent(m: re.Match) -> list[tuple[str, int, int]]:
+    at, parts = 0, []
+    for c in _lenient(bytes.fromhex(m.group().replace("%", ""))):
+        n = 3 * _width(c)
         parts.append((c, at, at + n))
         at += n
     return parts
@@ -113,68 +134,173 @@ def _escape(m: re.Match) -> list[tuple[str, int, int]] | None:
     return None if 0xD800 <= code < 0xE000 else [(chr(code), 0, len(m.group()))]
 
 
-def _unfold(raw: bytes) -> bytes | None:
-    """raw itself, or what it holds if it is gzip or zlib, again and again."""
-    for _ in range(8):
-        if raw[:2] != b"\x1f\x8b" and not (len(raw) > 2 and raw[0] == 0x78 and (raw[0] * 256 + raw[1]) % 31 == 0):
-            return raw
-        try:
-            d = zlib.decompressobj(47)
-            raw = d.decompress(raw, MAX_UNFOLD)
-            if d.unconsumed_tail or not d.eof:
-                return None
-        except zlib.error:
-            return None
-    return None
+def _is_packed(raw: bytes) -> bool:
+    m = _PACKED.match(raw)
+    return bool(m) and (raw[0] == 0x1F or (raw[0] * 256 + raw[1]) % 31 == 0)
+
+
+class _Stream:
+    """The pieces that compressed data unpacks to, over all gzip members, as far as it is sound; end: bytes of it that belong to them."""
+
+    def __init__(self, source: Iterator[bytes]):
+        self.source, self.end = source, 0
+
+    def __iter__(self) -> Iterator[bytes]:
+        d, rest = zlib.decompressobj(47), b""
+        for data in self.source:
+            self.end += len(data)
+            data = rest + data if rest else data
+            rest = b""
+            while len(data):
+                if d is None:  # behind a member: the next one, or nothing that belongs to it
+                    if bytes(data[:3]) != _GZIP[: len(data)]:
+                        self.end -= len(data)
+                        return
+                    if len(data) < 3:
+                        rest = data
+                        break
+                    d = zlib.decompressobj(47)
+                before = d.copy()
+                try:
+                    out = d.decompress(data, PIECE)
+                except zlib.error:  # what comes before the fault
+                    self.end -= len(data)
+                    try:
+                        for k in range(len(data)):
+                            if out := before.decompress(data[k : k + 1]):
+                                yield out
+                            self.end += 1
+                    except zlib.error:
+                        return
+                if out:
+                    yield out
+                if d.eof:
+                    data, d = d.unused_data, None
+                else:
+                    data = d.unconsumed_tail
+        self.end -= len(rest)
+
+
+def _cut(pieces: Iterator[bytes], digest) -> Iterator[bytes]:
+    """The same bytes in stretches cut where no pattern and no layer is; an unbroken run of more than HOLD bytes, with an overlap."""
+    held = b""
+    for piece in pieces:
+        digest.update(piece)
+        held += piece
+        if len(held) < PIECE:
+            continue
+        at = 0
+        for low in (max(0, len(held) - 4096), max(0, len(held) - PIECE)):
+            at = at or max((m.end() for m in _GAP.finditer(held, low)), default=0)
+        if at:
+            yield held[:at]
+            held = held[at:]
+        elif len(held) > HOLD:
+            yield held
+            held = held[-PIECE:]
+    if held:
+        yield held
+
+
+def _unpacked(packed: Callable[[], Iterator[bytes]]) -> Iterator[bytes]:
+    """Stretches of what packed unpacks to, and of what that unpacks to in turn, until it isn't compressed or repeats."""
+    seen = set()
+    while True:
+        head, more = b"", False
+        for piece in (pieces := iter(_Stream(packed()))):
+            head += piece
+            if more := len(head) >= HOLD:
+                break
+        digest = hashlib.blake2b(digest_size=16)
+        yield from _cut(chain([head], pieces), digest)
+        if not _is_packed(head) or digest.digest() in seen:
+            return
+        seen.add(digest.digest())
+        packed = (lambda outer=packed: iter(_Stream(outer()))) if more else (lambda whole=head: iter([whole]))
+
+
+def _packed_layers(raw: bytes, span) -> Iterator[Layer]:
+    """Layers of the compressed data that begins anywhere in raw; span gives the original range of a range of bytes."""
+    view, at = memoryview(raw), 0
+    while m := _PACKED.search(raw, at):
+        at = m.start() + 1
+        if not _is_packed(raw[m.start() : m.start() + 3]):
+            continue
+        packed = lambda a=m.start(): (view[k : k + 65536] for k in range(a, len(raw), 65536))
+        stream = _Stream(packed())
+        if sum(map(len, stream)):
+            at = m.start() + max(1, stream.end)
+            whole = span(m.start(), at)
+            for text in _unpacked(packed):
+                if _OF_USE.search(text):
+                    yield Layer(_lenient(text), None, None, whole)
 
 
 def _base64_layers(layer: Layer) -> Iterator[Layer]:
     for m in _BASE64.finditer(layer.text):
-        body = m.group().rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
+        if m.end() - m.start() < 16:
             continue
-        try:
+        run, lines, sizes = m.group(), [0], [0]
+        if "\n" in run or "\r" in run:  # where the lines begin, in the text and without the breaks
+            for x in _BREAKS.finditer(run):
+                sizes.append(sizes[-1] + x.start() - lines[-1])
+                lines.append(x.end())
+            run = _BREAKS.sub("", run)
+            if len(run) < 16:
+                continue
+        run = run.replace("-", "+").replace("_", "/")
+
+        def place(k: int) -> int:
+            line = bisect_right(sizes, k) - 1
+            return m.start() + lines[line] + k - sizes[line]
+
+        for shift in range(4):
+            body = run[shift : len(run) - ((len(run) - shift) % 4 == 1)]
             raw = base64.b64decode(body + "=" * (-len(body) % 4))
-        except binascii.Error:
-            continue
-        inner = _unfold(raw)
-        if not inner:
-            continue
-        try:
-            text = inner.decode()
-        except UnicodeDecodeError:
-            continue
-        if not all(c.isprintable() or c in "\t\n\r" for c in text):
-            continue
-        if inner is not raw:
-            yield Layer(text, None, None, layer.span(m.start(), m.start() + len(body)))
-            continue
-        starts, ends, at = [], [], 0
-        for c in text:  # byte k of the content lies in characters 4k // 3 to (4k + 7) // 3 of the code
-            n = len(c.encode())
-            a, b = 4 * at // 3, min(len(body), (4 * (at + n - 1) + 7) // 3)
-            s, e = layer.span(m.start() + a, m.start() + b)
-            starts.append(s)
-            ends.append(e)
-            at += n
-        yield Layer(text, starts, ends)
+
+            def span(a: int, b: int) -> tuple[int, int]:  # byte k of the content lies in characters 4k // 3 to (4k + 7) // 3 of the code
+                return layer.span(place(shift + 4 * a // 3), place(shift + min(len(body), (4 * (b - 1) + 7) // 3) - 1) + 1)
+
+            yield from _packed_layers(raw, span)
+            if not _OF_USE.search(raw):
+                continue
+            text = _lenient(raw)
+            if layer.whole:
+                yield Layer(text, None, None, layer.whole)
+                continue
+            starts, ends, at = [], [], 0
+            for c in text:
+                n = _width(c)
+                s, e = span(at, at + n)
+                starts.append(s)
+                ends.append(e)
+                at += n
+            yield Layer(text, starts, ends)
+
+
+def _layers(layer: Layer) -> Iterator[Layer]:
+    for pattern, decode in ((_PERCENT, _percent), (_ESCAPE, _escape)):
+        if new := _replaced(layer, pattern, decode):
+            yield new
+    yield from _base64_layers(layer)
 
 
 def all_spans(text: str, base: list[Span]) -> list[Span]:
     found, seen = set(base), {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}
-    work = [Layer(text, None, None)]
+    work = [_layers(Layer(text, None, None))]  # depth first, so that one stretch of each layer is held
     while work:
-        layer = work.pop()
-        inner = [x for x in (_replaced(layer, _PERCENT, _percent), _replaced(layer, _ESCAPE, _escape)) if x]
-        for new in [*inner, *_base64_layers(layer)]:
-            key = hashlib.blake2b(repr((new.text, new.span(0, len(new.text)))).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-            if not new.text or key in seen:
-                continue
-            seen.add(key)
-            for a, kind, b in base_spans(new.text):
-                s, e = new.span(a, b)
-                found.add((s, kind, e))
-            work.append(new)
+        new = next(work[-1], None)
+        if new is None:
+            work.pop()
+            continue
+        key = hashlib.blake2b(repr((new.text, new.span(0, len(new.text)))).encode("utf-8", "surrogatepass"), digest_size=16).digest() if new.text else None
+        if key is None or key in seen:
+            continue
+        seen.add(key)
+        for a, kind, b in base_spans(new.text):
+            s, e = new.span(a, b)
+            found.add((s, kind, e))
+        work.append(_layers(new))
     return sorted(found)
 
 

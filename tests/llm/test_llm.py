@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -264,6 +265,32 @@ def test_secrets():
     assert secrets.all_spans("%25" * 30, []) == []
 
 
+def hidden(text):
+    return {(k, text[a:b]) for a, k, b in secrets.all_spans(text, [])}
+
+
+def test_secrets_in_layers_that_are_no_plain_text():
+    import base64
+    import gzip
+
+    code = lambda raw: base64.b64encode(raw).decode()
+    plain = b"token=abcdefgh12"
+    for odd in ("\u00a0", "\u3000", "\u200b", "\ufeff", "\f", "\0"):
+        assert len(hidden(code(f"see {odd} ".encode() + plain))) == 1
+    assert len(hidden(code(b"caf\xe9 " + plain + b" \xff"))) == 1
+    ((kind, where),) = hidden("é " + "".join(f"%{b:02X}" for b in b"caf\xe9 " + plain))
+    assert kind == 0 and where == "".join(f"%{b:02X}" for b in plain)
+    filler = hashlib.sha512(b"x").digest() * 3
+    for raw in (gzip.compress(filler + plain), zlib.compress(filler + plain), filler + plain):
+        for width in (76, 64, 10):
+            for end in ("\n", "\r\n", "\n  "):
+                wrapped = end.join(code(raw)[i : i + width] for i in range(0, len(code(raw)), width))
+                assert len(hidden("text before: " + wrapped + " and after")) == 1 and len(hidden("word\n" + wrapped + "\nword")) == 1
+    for before in ("", "a", "ab", "abc"):
+        assert len(hidden(before + code(plain))) == 1 and len(hidden(before + code(gzip.compress(filler + plain)))) == 1
+    assert secrets.LAYER_HINT and pa.compute.match_substring_regex(pa.array(["dG9r\nZW49\nYWJj\nZGVm"]), secrets.LAYER_HINT).to_pylist() == [True]
+
+
 def test_secrets_table(docs):
     got = {r.doc_id: r for r in secrets.scan_secrets(docs).collect()}
     assert got[10].base == got[10].spans == "assign:0:14" and got[3].base == "" and len(got) == len(TEXTS) + 1
