@@ -291,6 +291,24 @@ def test_secrets_in_layers_that_are_no_plain_text():
     assert secrets.LAYER_HINT and pa.compute.match_substring_regex(pa.array(["dG9r\nZW49\nYWJj\nZGVm"]), secrets.LAYER_HINT).to_pylist() == [True]
 
 
+def test_secrets_in_large_and_nested_streams():
+    import base64
+    import gzip
+
+    code = lambda raw: base64.b64encode(raw).decode()
+    plain = b"token=abcdefgh12"
+    assert hidden(code(gzip.compress(b"lorem, " * 3_000_000 + plain))) and hidden(code(gzip.compress(b"a" * 20_000_000 + b" " + plain)))
+    assert hidden(code(gzip.compress(b"x" * (secrets.PIECE - 8) + b", " + plain + b" ," * 9)))
+    deep = plain
+    for k in range(60):
+        deep = gzip.compress(deep) if k % 2 else zlib.compress(deep)
+    assert hidden(code(deep))
+    assert hidden(code(gzip.compress(b"first ") + gzip.compress(plain))) and hidden(code(gzip.compress(b"tok") + gzip.compress(b"en=abcdefgh12")))
+    assert hidden(code(gzip.compress(gzip.compress(b"lorem, " * 3_000_000 + plain)))) and hidden(code(gzip.compress(b"(S" + plain)))
+    whole = gzip.compress(hashlib.sha512(b"y").digest() + plain + hashlib.sha512(b"z").digest() * 3)
+    assert hidden(code(whole[:-20])) and hidden(code(whole) + " ")
+
+
 def test_secrets_table(docs):
     got = {r.doc_id: r for r in secrets.scan_secrets(docs).collect()}
     assert got[10].base == got[10].spans == "assign:0:14" and got[3].base == "" and len(got) == len(TEXTS) + 1
