@@ -13,7 +13,10 @@ how many tokens are new words.
 How the work is laid out: documents are handled in blocks; a block sends its distinct words once, gets each word's corpus
 count and pieces back, and is scored in one task. So a shuffle carries distinct words by block, not words.
 
-The attention weights are fitted on a bounded sample (SAMPLE_CHARS of training documents, by hash); counts cover them all.
+The attention weights start from a fit on the driver (about SAMPLE_CHARS of training documents, by hash), only so that all
+tasks start alike. Then each partition of the training documents goes on from there over all its windows, once, and the
+tasks' changes are averaged up a tree: a piece's rows weighted by how often a task saw the piece, the rest by windows. So
+the layer learns from every training document, as the counts do.
 
 Defined results: a null or empty text is its end alone; words no piece covers fall back to the tokenizer's byte pieces;
 without training documents N is 0 and the base is uniform; repeated rows count each; very long texts are scored whole;
@@ -23,16 +26,18 @@ extra columns are ignored; an empty table gives none.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from copy import deepcopy
+from dataclasses import dataclass, replace
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, ragged, split_words, staged
+from .common import chunks, documents, ragged, split_words, staged
 
 #: Positions of a window, how many of them it scores, and the model's width and classes.
 WINDOW, STRIDE, WIDTH, CLASSES = 24, 16, 16, 112
@@ -40,6 +45,9 @@ WINDOW, STRIDE, WIDTH, CLASSES = 24, 16, 16, 112
 SHARED, INNER = 12, 16
 SAMPLE_CHARS, STEPS, BATCH = 1_500_000, 500, 256
 BLOCK_BYTES = 6 << 20
+#: The pass over all training documents: its rate; bytes of text a partition holds, about, and partitions merged at once.
+RATE, MERGED, FAN = 0.005, 16 << 20, 8
+BY_PIECE, DENSE = ("query", "key", "value", "rest"), ("bias", "out", "out_bias")
 TINY = 1e-30
 
 
@@ -99,49 +107,142 @@ def forward(m: Attention, ids: np.ndarray, first: int) -> tuple[np.ndarray, ...]
     return logits, h, a, q, k, v, gap
 
 
+class Adam:
+    """Moments of the gradients of a model, and how many steps were taken."""
+
+    def __init__(self, m: Attention):
+        self.step = 0
+        self.first = {c: np.zeros_like(getattr(m, c)) for c in (*BY_PIECE, *DENSE)}
+        self.second = {c: np.zeros_like(getattr(m, c)) for c in (*BY_PIECE, *DENSE)}
+
+
+def learn(m: Attention, adam: Adam, window: np.ndarray, lr: float) -> None:
+    """One step on a batch of windows of piece numbers."""
+    adam.step += 1
+    step, first, second = adam.step, adam.first, adam.second
+    ids, target = window[:, :-1], m.kind[window[:, 1:]].ravel()
+    logits, h, a, q, k, v, gap = forward(m, ids, 0)
+    p = np.exp(logits - logits.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    p[np.arange(len(target)), target] -= 1
+    p /= len(target)
+    grad = {"out": h.reshape(-1, WIDTH).T @ p, "out_bias": p.sum(axis=0)}
+    dh = (p @ m.out.T).reshape(h.shape)
+    da = np.matmul(dh, v.transpose(0, 2, 1))
+    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
+    flat = np.zeros(WINDOW, np.float32)
+    np.add.at(flat, np.clip(gap, 0, WINDOW - 1).ravel(), (ds.sum(axis=0) * (gap >= 0)).ravel())
+    grad["bias"] = flat
+    scale = np.float32(WIDTH**-0.5)
+    by_piece = {"query": np.matmul(ds, k) * scale, "key": np.matmul(ds.transpose(0, 2, 1), q) * scale, "value": np.matmul(a.transpose(0, 2, 1), dh), "rest": dh}
+    used, back = np.unique(ids.ravel(), return_inverse=True)
+    order = np.argsort(back, kind="stable")
+    cuts = np.searchsorted(back[order], np.arange(len(used)))
+    for c, g in grad.items():
+        first[c] = 0.9 * first[c] + 0.1 * g
+        second[c] = 0.99 * second[c] + 0.01 * g * g
+        setattr(m, c, (getattr(m, c) - lr * (first[c] / (1 - 0.9**step)) / (np.sqrt(second[c] / (1 - 0.99**step)) + 1e-8)).astype(np.float32))
+    for c, g in by_piece.items():
+        g = np.add.reduceat(g.reshape(-1, WIDTH)[order], cuts, axis=0)
+        f, s, table = first[c], second[c], getattr(m, c)
+        f[used] = 0.9 * f[used] + 0.1 * g
+        s[used] = 0.99 * s[used] + 0.01 * g * g
+        table[used] -= (lr * f[used] / (np.sqrt(s[used]) + 1e-8) * 0.3).astype(np.float32)
+
+
 def train(m: Attention, sequences: np.ndarray, steps: int = STEPS, seed: int = 0, rate: float = 0.02) -> Attention:
     """Adam on random windows of sequences, an array of piece numbers in which texts follow each other."""
     if len(sequences) <= WINDOW + 1:
         return m
     rng = np.random.default_rng(seed)
-    names = ("query", "key", "value", "rest", "bias", "out", "out_bias")
-    first = {c: np.zeros_like(getattr(m, c)) for c in names}
-    second = {c: np.zeros_like(getattr(m, c)) for c in names}
+    adam = Adam(m)
     for step in range(1, steps + 1):
         at = rng.integers(0, len(sequences) - WINDOW, BATCH)
-        window = sequences[at[:, None] + np.arange(WINDOW + 1)]
-        ids, target = window[:, :-1], m.kind[window[:, 1:]].ravel()
-        logits, h, a, q, k, v, gap = forward(m, ids, 0)
-        p = np.exp(logits - logits.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(target)), target] -= 1
-        p /= len(target)
-        grad = {"out": h.reshape(-1, WIDTH).T @ p, "out_bias": p.sum(axis=0)}
-        dh = (p @ m.out.T).reshape(h.shape)
-        da = np.matmul(dh, v.transpose(0, 2, 1))
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-        flat = np.zeros(WINDOW, np.float32)
-        np.add.at(flat, np.clip(gap, 0, WINDOW - 1).ravel(), (ds.sum(axis=0) * (gap >= 0)).ravel())
-        grad["bias"] = flat
-        scale = np.float32(WIDTH**-0.5)
-        by_piece = {"query": np.matmul(ds, k) * scale, "key": np.matmul(ds.transpose(0, 2, 1), q) * scale, "value": np.matmul(a.transpose(0, 2, 1), dh), "rest": dh}
-        used, back = np.unique(ids.ravel(), return_inverse=True)
-        order = np.argsort(back, kind="stable")
-        cuts = np.searchsorted(back[order], np.arange(len(used)))
-        lr = rate * min(1.0, step / 20) * (1 - 0.9 * step / steps)
-        for c, g in grad.items():
-            first[c] = 0.9 * first[c] + 0.1 * g
-            second[c] = 0.99 * second[c] + 0.01 * g * g
-            setattr(m, c, (getattr(m, c) - lr * (first[c] / (1 - 0.9**step)) / (np.sqrt(second[c] / (1 - 0.99**step)) + 1e-8)).astype(np.float32))
-        for c, g in by_piece.items():
-            g = np.add.reduceat(g.reshape(-1, WIDTH)[order], cuts, axis=0)
-            f, s, table = first[c], second[c], getattr(m, c)
-            f[used] = 0.9 * f[used] + 0.1 * g
-            s[used] = 0.99 * s[used] + 0.01 * g * g
-            table[used] -= (lr * f[used] / (np.sqrt(s[used]) + 1e-8) * 0.3).astype(np.float32)
+        learn(m, adam, sequences[at[:, None] + np.arange(WINDOW + 1)], rate * min(1.0, step / 20) * (1 - 0.9 * step / steps))
     return m
 
 
+def go_over(m: Attention, adam: Adam, sequence: np.ndarray, end: int, rate: float = RATE) -> int:
+    """Adam on all windows of sequence, each piece being predicted once; gives the number of windows."""
+    padded = np.concatenate([np.full(max(1, WINDOW + 1 - len(sequence)), end, np.int64), sequence])
+    at = np.minimum(np.arange(0, len(padded) - 1, WINDOW), len(padded) - WINDOW - 1)
+    np.random.default_rng(len(at)).shuffle(at)
+    for part in np.array_split(at, -(-len(at) // BATCH)):
+        learn(m, adam, padded[part[:, None] + np.arange(WINDOW + 1)], rate * min(1.0, (adam.step + 1) / 20))
+    return len(at)
+
+
+def packed_changes(start: Attention, m: Attention, seen: np.ndarray, windows: int) -> bytes:
+    """What a pass changed, times its weights, as bytes: the pieces that it saw, how often, their rows, and the rest."""
+    used = np.flatnonzero(seen)
+    rows = np.concatenate([getattr(m, c)[used] - getattr(start, c)[used] for c in BY_PIECE], axis=1) * seen[used, None]
+    rest = np.concatenate([(getattr(m, c) - getattr(start, c)).ravel() for c in DENSE]) * windows
+    head = np.array([len(used), windows], np.int64)
+    return b"".join(x.tobytes() for x in (head, used.astype(np.int64), seen[used].astype(np.int64), rows.astype(np.float32), rest.astype(np.float32)))
+
+
+def summed_changes(packed: list[bytes], n_pieces: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(how often each piece was seen, its rows' weighted changes, the rest's, windows) over all of packed."""
+    seen, rows, rest, windows = np.zeros(n_pieces, np.int64), np.zeros((n_pieces, len(BY_PIECE) * WIDTH)), 0.0, 0
+    for raw in packed:
+        k, n = np.frombuffer(raw, np.int64, 2)
+        used, times = np.frombuffer(raw, np.int64, 2 * k, 16).reshape(2, k)
+        at = 16 + 16 * int(k)
+        rows[used] += np.frombuffer(raw, np.float32, int(k) * rows.shape[1], at).reshape(k, -1)
+        rest = rest + np.frombuffer(raw, np.float32, -1, at + 4 * int(k) * rows.shape[1]).astype(np.float64)
+        seen[used] += times
+        windows += int(n)
+    return seen, rows, rest, windows
+
+
+def changed(start: Attention, packed: list[bytes]) -> Attention:
+    """start with the weighted mean of all changes."""
+    seen, rows, rest, windows = summed_changes(packed, len(start.query))
+    if not windows:
+        return start
+    mean, at = rows / np.maximum(1, seen)[:, None], 0
+    new = {c: getattr(start, c) + mean[:, k * WIDTH : (k + 1) * WIDTH].astype(np.float32) for k, c in enumerate(BY_PIECE)}
+    for c in DENSE:
+        old = getattr(start, c)
+        new[c] = old + (rest[at : at + old.size] / windows).reshape(old.shape).astype(np.float32)
+        at += old.size
+    return replace(start, **new)
+
+
+def over_all(texts: DataFrame, start: Attention, path: str, end: int, size: int) -> Attention:
+    """The model after one pass over texts (column text): each partition's own pass from start, averaged up a tree."""
+    shared = texts.sparkSession.sparkContext.broadcast(start)  # of the vocabulary's size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = deepcopy(shared.value)
+        adam, seen, windows = Adam(m), np.zeros(end + 1, np.int64), 0
+        for batch in chunks(batches, "text"):
+            words, per = split_words(_lowered(pa.table({"text": batch.column("text")})))
+            coded = pc.dictionary_encode(words)
+            ids, n = pieces_of(coded.dictionary.to_pylist(), path)
+            sequence = _laid_out(ids.astype(np.int64), n, coded.indices.to_numpy(), per, end)[0]
+            windows += go_over(m, adam, sequence, end)
+            seen += np.bincount(sequence, minlength=end + 1)
+        if windows:
+            raw = packed_changes(shared.value, m, seen, windows)
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([raw], pa.binary())], ["part", "raw"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        table = table.sort_by("part")
+        seen, rows, rest, windows = summed_changes(table.column("raw").to_pylist(), end + 1)
+        used = np.flatnonzero(seen)
+        head = np.array([len(used), windows], np.int64)
+        raw = b"".join(x.tobytes() for x in (head, used.astype(np.int64), seen[used], rows[used].astype(np.float32), rest.astype(np.float32)))
+        return pa.table({"part": table.column("part").slice(0, 1), "raw": pa.array([raw], pa.binary())})
+
+    parts = texts.mapInArrow(run, "part long, raw binary")
+    groups = size // MERGED // FAN
+    while groups > 1:
+        parts = parts.groupBy(F.pmod(F.xxhash64("part"), F.lit(groups)).alias("g")).applyInArrow(lambda t: merge(t.select(["part", "raw"])), "part long, raw binary")
+        groups //= FAN
+    return changed(start, [r["raw"] for r in sorted(parts.collect(), key=lambda r: r["part"])])
+
+
 def class_scores(m: Attention, ids: np.ndarray, bounds: np.ndarray, end: int, heads: int, batch: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """Natural logarithms, for each piece, of its class's probability and of that of all classes below heads, the ones that begin a word.
 
@@ -298,18 +399,15 @@ def score_texts(docs: DataFrame, training: Column, path: str | None = None, samp
     once = table.where("c = 1").count()
     known_share = min(0.98, max(0.5, 1 - once / max(1, n_all)))
 
-    chosen = slim.where("learn and text <> ''").orderBy(F.xxhash64(F.lit(7), "doc_id", "text")).limit(4000).select("text")
-    taken, room = [], sample_chars
-    for (t,) in chosen.toLocalIterator():
-        taken.append(t)
-        room -= len(t)
-        if room <= 0:
-            break
+    share = min(1.0, sample_chars / max(1, size))
+    chosen = slim.where("learn and text <> ''").where(F.pmod(F.xxhash64(F.lit(7), "doc_id", "text"), F.lit(1 << 30)) <= int(share * (1 << 30)))
+    taken = [r["text"] for r in chosen.select(F.substring("text", 1, sample_chars).alias("text")).toLocalIterator()]
     flat, per = split_words(pc.ascii_lower(pa.array(taken, pa.string())))
     coded = pc.dictionary_encode(flat)
     ids, n = pieces_of(coded.dictionary.to_pylist(), path)
     sequence = _laid_out(ids.astype(np.int64), n, coded.indices.to_numpy(), per, end)[0]
-    model = bounded(train(initial(end + 1, group, mass / mass.sum()), sequence, steps))
+    start = train(initial(end + 1, group, mass / mass.sum()), sequence, steps)
+    model = bounded(over_all(slim.where("learn and text <> ''").select("text"), start, path, end, size))
 
     found = words.select("block", "word").join(table, "word").select("block", "word", "c", "ids")
     shared = spark.sparkContext.broadcast((model, within, heads, counts))  # of the vocabulary's size

@@ -377,6 +377,21 @@ def test_scoring(spark, docs):
     assert scoring.score_texts(docs, F.lit(False), steps=5).count() == docs.count()
 
 
+def test_the_layer_learns_from_all_training_documents(spark, monkeypatch):
+    seen = []
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["the", "cat", "sat", "mats"]) for _ in range(9))) for i in range(4500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    whole = scoring.changed
+    monkeypatch.setattr(scoring, "changed", lambda start, packed: seen.append((scoring.summed_changes(packed, len(start.query)), len(packed))) or whole(start, packed))
+    for merged in (scoring.MERGED, 1000):
+        monkeypatch.setattr(scoring, "MERGED", merged)
+        assert scoring.score_texts(df, F.lit(True), sample_chars=2000, steps=20).count() == 4500
+    (a, _), (b, few) = seen
+    assert a[0][-1] == b[0][-1] == 4500 and a[0].sum() == b[0].sum() >= 4500 * 10 and a[3] == b[3] and few < 5 * 5
+    assert np.allclose(a[1], b[1], atol=1e-2) and np.abs(a[1]).max() > 0
+
+
 def test_windows_score_each_piece_once_as_a_plain_model_does():
     rng = np.random.default_rng(1)
     group = np.arange(40) % scoring.CLASSES
