@@ -363,12 +363,13 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(documents(spark, sf_dir))
 
 
-def with_tokens(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """docs with ids, starts and ends of the pieces appended; the rows and other columns stay as they are."""
+def with_tokens(docs: DataFrame, model: str | None = None, decoded: str | None = None) -> DataFrame:
+    """docs with ids, starts and ends of the pieces appended, and the text they decode to if decoded names a column for it."""
     path = model or default_model()
     names = docs.columns
     text = names.index("text")
-    taken = {"ids", "starts", "ends"} & set(names)
+    more = [decoded] if decoded else []
+    taken = {"ids", "starts", "ends", *more} & set(names)
     if taken:
         raise ValueError(f"docs has columns named {sorted(taken)}")
 
@@ -378,7 +379,11 @@ def with_tokens(docs: DataFrame, model: str | None = None) -> DataFrame:
             ids, starts, ends, counts = pieces.encode(batch.column(text))
             bounds = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
             arrays = [pa.ListArray.from_arrays(bounds, pa.array(x.astype(np.int32))) for x in (ids, starts, ends)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*names, "ids", "starts", "ends"])
+            if decoded:
+                lists, edge = ids.tolist(), bounds.to_pylist()
+                arrays.append(pa.array([pieces.decode(lists[a:b]) for a, b in zip(edge, edge[1:])], pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*names, "ids", "starts", "ends", *more])
 
     added = [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("ids", "starts", "ends")]
+    added += [T.StructField(c, T.StringType()) for c in more]
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))

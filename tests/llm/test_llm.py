@@ -169,6 +169,18 @@ def test_pieces(docs):
     assert pieces.with_tokens(docs).columns == [*docs.columns, "ids", "starts", "ends"]
 
 
+def test_the_pipeline_decodes_and_both_ways_of_encoding_agree(spark, docs):
+    import corpus_pipeline
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    got = corpus_pipeline.sentencepiece(spark, docs, "").collect()
+    assert len(got) == docs.count() and all(r.decoded == model.decode(r.ids) == model.decode(model.encode(r.text or "")) for r in got)
+    own, texts = pieces.Pieces(pieces.default_model()), pa.array(sample_texts())
+    for mine, general in zip(own.encode(texts), own._encode_general(texts)):
+        assert mine.tolist() == general.tolist()
+
+
 def test_character_map():
     import struct
 
