@@ -54,44 +54,78 @@ def probe_keys(tau: int) -> Column:
     return F.array_distinct(F.array_compact(F.array(*keys)))
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value) with value computed once: lambdas are evaluated as they stand, without shared subexpressions."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _common_prefix(x: Column, y: Column, most: Column) -> Column:
+    """Code points that x and y begin with alike, most at most: by halving, so that whole prefixes are compared, not characters."""
+
+    def half(s: Column, _: Column) -> Column:
+        mid = F.shiftright(s["low"] + s["high"] + 1, 1)
+        same = F.left(x, mid) == F.left(y, mid)
+        return F.when(s["low"] >= s["high"], s).otherwise(F.struct(F.when(same, mid).otherwise(s["low"]).alias("low"), F.when(same, s["high"]).otherwise(mid - 1).alias("high")))
+
+    steps = F.sequence(F.lit(0), F.length(F.bin(most.cast("long"))))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), most.cast("int").alias("high")), half)["low"]
+
+
+def _middles(x: Column, y: Column, use) -> Column:
+    """use(struct of x and y) without the beginning and the end that both share, which change no distance."""
+
+    def cut(p: Column, q: Column, then) -> Column:
+        most = F.least(F.length(p), F.length(q))
+        return _bound(_common_prefix(p, q, most), lambda n: then(F.substr(p, n + 1), F.substr(q, n + 1)))
+
+    turned = lambda p, q: F.struct(F.reverse(p).alias("x"), F.reverse(q).alias("y"))
+    front = cut(x, y, turned)
+    return _bound(front, lambda s: _bound(cut(s["x"], s["y"], turned), use))
+
+
 def edit_distance(x: Column, y: Column, tau: int) -> Column:
     """The distance of two strings whose lengths differ by tau at most, if it is tau or less; else some greater number.
 
-    A band of 2 tau + 1 bits slides down the diagonal of the table, x along its rows; bit k of column j is row
-    j - tau + k. VP and VN hold where a cell is one more or one less than the cell above it.
+    Shared ends are cut off first. Then a band of 2 tau + 1 bits slides down the diagonal of the table, x along its rows; bit
+    k of column j is row j - tau + k. VP and VN hold where a cell is one more or one less than the cell above it. Once no
+    cell of the band is tau or less, none to its right is, and the columns that are left are passed over.
     """
     width = 2 * tau + 1
     ones, top = (1 << width) - 1, width - 1
     shift = 8 * ((width + 7) // 8)
-    a, b = F.split(x, ""), F.split(y, "")
-    m = F.length(x)
-
-    def bound(value: Column, use) -> Column:
-        """use(value) with value computed once: lambdas are evaluated as they stand, without shared subexpressions."""
-        return F.get(F.transform(F.array(value), use), 0)
-
-    def step(state: Column, j: Column) -> Column:
-        char = F.get(b, j - 1)
-        eq = sum((F.when(F.get(a, j - tau + k - 1) == char, F.lit(1 << k)).otherwise(F.lit(0)) for k in range(width)), F.lit(0)).cast("long")
-        vp, vn, dist = state.bitwiseAND(F.lit(ones)), F.shiftright(state, shift).bitwiseAND(F.lit(ones)), F.shiftright(state, 2 * shift)
-
-        def column(d0: Column) -> Column:
-            hp = vn.bitwiseOR(F.lit(ones) - d0.bitwiseOR(vp))
-            hn = d0.bitwiseAND(vp)
-            x0 = F.shiftright(d0, 1)
-            new_vp, new_vn = hn.bitwiseOR(F.lit(ones) - x0.bitwiseOR(hp)), x0.bitwiseAND(hp)
-            low = F.greatest(F.lit(0), F.lit(top) - (j - (m - tau)))  # the bit of the last row once the band reaches it
-            bit = lambda v: F.call_function("shiftright", v, low).bitwiseAND(F.lit(1))
-            down = F.lit(1) - F.shiftright(d0, top).bitwiseAND(F.lit(1))
-            moved = dist + F.when(j <= m - tau, down).otherwise(bit(hp) - bit(hn))
-            return new_vp + F.shiftleft(new_vn, shift) + F.shiftleft(moved, 2 * shift)
-
-        d0 = lambda e: ((e.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(e).bitwiseOR(vn).bitwiseAND(F.lit(ones))
-        return bound(bound(eq, d0), column)
-
-    start = ((1 << width) - (1 << tau)) + (tau << 2 * shift)
-    folded = F.aggregate(F.sequence(F.lit(1), F.length(y)), F.lit(start).cast("long"), step)
-    return F.shiftright(folded, 2 * shift)
+    start = (1 << width) - (1 << tau)
+
+    def fold(s: Column) -> Column:
+        """s: the characters a of x, those of y, and the length m of x."""
+
+        def step(state: Column, j: Column) -> Column:
+            char = F.get(s["b"], j - 1)
+            eq = sum((F.when(F.get(s["a"], j - tau + k - 1) == char, F.lit(1 << k)).otherwise(F.lit(0)) for k in range(width)), F.lit(0)).cast("long")
+            vp, vn, dist = state.bitwiseAND(F.lit(ones)), F.shiftright(state, shift).bitwiseAND(F.lit(ones)), F.shiftright(state, 2 * shift)
+
+            def column(d0: Column) -> Column:
+                hp = vn.bitwiseOR(F.lit(ones) - d0.bitwiseOR(vp))
+                hn = d0.bitwiseAND(vp)
+                x0 = F.shiftright(d0, 1)
+                new_vp, new_vn = hn.bitwiseOR(F.lit(ones) - x0.bitwiseOR(hp)), x0.bitwiseAND(hp)
+                low = F.greatest(F.lit(0), F.lit(top) - (j - (s["m"] - tau)))  # the bit of the last row once the band reaches it
+                bit = lambda v: F.call_function("shiftright", v, low).bitwiseAND(F.lit(1))
+                down = F.lit(1) - F.shiftright(d0, top).bitwiseAND(F.lit(1))
+                moved = dist + F.when(j <= s["m"] - tau, down).otherwise(bit(hp) - bit(hn))
+                return new_vp + F.shiftleft(new_vn, shift) + F.shiftleft(moved, 2 * shift)
+
+            d0 = lambda e: ((e.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(e).bitwiseOR(vn).bitwiseAND(F.lit(ones))
+            return F.when(dist - F.bit_count(vp) > tau, state).otherwise(_bound(_bound(eq, d0), column))
+
+        first = F.lit(start) + F.shiftleft(F.least(s["m"], F.lit(tau)).cast("long"), 2 * shift)  # the band's lowest row, or the last one
+        return F.shiftright(F.aggregate(F.sequence(F.lit(1), F.size(s["b"])), first, step), 2 * shift)
+
+    def split(s: Column) -> Column:
+        parts = F.struct(F.split(s["x"], "").alias("a"), F.split(s["y"], "").alias("b"), F.length(s["x"]).alias("m"))
+        gone = F.greatest(F.length(s["x"]), F.length(s["y"]))
+        return F.when(F.least(F.length(s["x"]), F.length(s["y"])) == 0, gone.cast("long")).otherwise(_bound(parts, fold))
+
+    return _middles(x, y, split)
 
 
 def exploded(docs: DataFrame, *keep: str) -> DataFrame:
