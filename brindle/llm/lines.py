@@ -128,36 +128,53 @@ def edit_distance(x: Column, y: Column, tau: int) -> Column:
     return _middles(x, y, split)
 
 
+def digest(line: Column) -> Column:
+    """16 bytes that stand for a line."""
+    return F.substring(F.unhex(F.sha2(line, 256)), 1, 16)
+
+
 def exploded(docs: DataFrame, *keep: str) -> DataFrame:
     lines = F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line")
     held = docs.select(*keep, F.col("doc_id").cast("long").alias("doc_id"), lines)
-    return held.withColumn("key", F.unhex(F.sha2("line", 256))).withColumn("blank", F.col("line").rlike(f"^{WHITESPACE}*$"))
+    return held.withColumn("key", digest(F.col("line"))).withColumn("blank", F.col("line").rlike(f"^{WHITESPACE}*$"))
 
 
-def edit_links(lines: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(a, b) for all pairs of distinct lines (id, line) of min_chars or more within tau edits."""
-    long = lines.withColumn("len", F.length("line")).where(F.col("len") >= max(min_chars, tau + 1))
-    index = long.select("id", "len", F.explode(index_keys(tau)).alias("k"))
-    probe = long.select(F.col("id").alias("id2"), F.col("len").alias("len2"), F.explode(probe_keys(tau)).alias("k"))
-    met = index.join(probe, "k").where("id <> id2 and len <= len2 and len2 - len <= %d and (len < len2 or id < id2)" % tau).select("id", "id2").distinct()
-    texts = lines.select("id", "line")
-    pairs = met.join(texts, "id").join(texts.select(F.col("id").alias("id2"), F.col("line").alias("line2")), "id2")
-    near = pairs.where(edit_distance(F.col("line"), F.col("line2"), tau) <= tau)
-    return near.select(F.col("id").alias("a"), F.col("id2").alias("b"))
+def edit_pairs(lines: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(x, y) for all pairs of different texts in column line, of min_chars or more, within tau edits.
+
+    Texts cross the network once, to a partition by their hash h, where equal ones become one; rows of the segment join
+    hold h alone, and the few candidates come back to the same partitions for their texts. Texts of one hash stay a set.
+    """
+    long = lines.where(F.length("line") >= max(min_chars, tau + 1)).select("line", F.xxhash64("line").alias("h"))
+    groups = long.groupBy("h").agg(F.collect_set("line").alias("lines"))
+    each = groups.select("h", F.explode("lines").alias("line")).withColumn("len", F.length("line"))
+    index = each.select("h", F.explode(index_keys(tau)).alias("k"))
+    probe = each.select(F.col("h").alias("h2"), F.explode(probe_keys(tau)).alias("k"))
+    met = index.join(probe, "k").where("h <> h2").select(F.least("h", "h2").alias("h1"), F.greatest("h", "h2").alias("h2")).distinct()
+    met = met.union(groups.where(F.size("lines") > 1).select(F.col("h").alias("h1"), F.col("h").alias("h2")))
+    side = lambda k: F.struct(F.col(f"h{k}").alias("h"), F.lit(k).alias("side"))
+    ends = met.select("h1", "h2", F.explode(F.array(side(1), side(2))).alias("end")).select("h1", "h2", "end.h", "end.side")
+    found = ends.join(groups, "h").groupBy("h1", "h2").agg(*(F.first(F.when(F.col("side") == k, F.col("lines")), ignorenulls=True).alias(f"s{k}") for k in (1, 2)))
+    pairs = found.select("h1", "h2", F.explode("s1").alias("x"), "s2").select("h1", "h2", "x", F.explode("s2").alias("y"))
+    pairs = pairs.where("(h1 <> h2 or x < y) and abs(length(x) - length(y)) <= %d" % tau)
+    return pairs.where(edit_distance(F.col("x"), F.col("y"), tau) <= tau).select("x", "y")
 
 
 def line_classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(key, class, first_doc, first_line, near): for each distinct line its class, where that first occurs, and whether it holds other texts."""
+    """(key, first_doc, first_line, near): for each distinct line where its class first occurs, and whether that holds other texts."""
     shared_dir(docs.sparkSession)
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "line_no")
-    distinct = exploded(docs).where(~F.col("blank")).groupBy("key").agg(F.first("line").alias("line"), F.min(place).alias("place"))
-    distinct = staged(distinct.withColumn("id", F.monotonically_increasing_id()), "lines")
-    comp = connected_components(edit_links(distinct.select("id", "line"), tau, min_chars))
-    found = distinct.select("key", "id", "place").join(comp.withColumnRenamed("node", "id"), "id", "left")
-    found = found.select("key", "place", F.coalesce("component", "id").alias("class"), F.col("component").isNotNull().alias("near"))
-    first = found.where("near").groupBy("class").agg(F.min("place").alias("first"))
-    found = found.join(first, "class", "left").withColumn("first", F.coalesce("first", "place"))
-    return found.select("key", "class", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"), "near")
+    lines = exploded(docs).where(~F.col("blank"))
+    found = lines.groupBy("key").agg(F.min(place).alias("place"))
+    links = edit_pairs(lines, tau, min_chars).select(digest(F.col("x")).alias("a"), digest(F.col("y")).alias("b")).checkpoint()
+    nodes = links.select(F.col("a").alias("key")).union(links.select("b")).distinct()
+    nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "lines")
+    edges = links.join(nodes.toDF("a", "u"), "a").join(nodes.toDF("b", "v"), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
+    classes = nodes.join(connected_components(edges), "node").select("key", "component")
+    near = found.join(classes, "key").groupBy("component").agg(F.min("place").alias("first"))
+    found = found.join(classes.join(near, "component").select("key", "first"), "key", "left")
+    first = F.coalesce("first", "place")
+    return found.select("key", first["doc_id"].alias("first_doc"), first["line_no"].alias("first_line"), F.col("first").isNotNull().alias("near"))
 
 
 def marked_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -221,10 +221,20 @@ def test_lines(spark, docs):
 
     texts = sorted({change(b, rng.randrange(4)) for b in ("".join(rng.choice("abé") for _ in range(rng.randrange(26, 40))) for _ in range(30)) for _ in range(4)})
     texts = [t for t in texts if len(t) >= 24]
-    df = spark.createDataFrame(list(enumerate(texts)), "id long, line string")
-    got = {(min(r.a, r.b), max(r.a, r.b)) for r in lines.edit_links(df).collect()}
-    want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if edits(texts[i], texts[j]) <= 2}
-    assert got == want and got
+    df = spark.createDataFrame([(t,) for t in texts + texts[:9]], "line string")
+    found = lines.edit_pairs(df).collect()
+    got = {frozenset((r.x, r.y)) for r in found}
+    want = {frozenset((s, t)) for s in texts for t in texts if s < t and edits(s, t) <= 2}
+    assert got == want and len(got) == len(found) > 0
+    few = [(k % 40, "\n".join(rng.choice(texts[:30] + ["", " ", "short"]) for _ in range(rng.randrange(4)))) for k in range(50)]  # ids repeat
+    table = spark.createDataFrame(few, "doc_id long, text string")
+    flat = [(i, n, x) for i, t in few for n, x in enumerate(t.split("\n"))]
+    kinds = sorted({x for _, _, x in flat if x.strip()})
+    root = roots(range(len(kinds)), [(i, j) for i in range(len(kinds)) for j in range(i) if min(len(kinds[i]), len(kinds[j])) >= 24 and edits(kinds[i], kinds[j]) <= 2])
+    root = {x: root[k] for k, x in enumerate(kinds)}
+    first = {c: min((i, n) for i, n, x in flat if root.get(x) == c) for c in set(root.values())}
+    gone = Counter((i, n, bool(x.strip()) and first[root[x]] != (i, n)) for i, n, x in flat)
+    assert Counter((r.doc_id, r.line_no, r.removed) for r in lines.marked_lines(table).collect()) == gone
     pairs = [(a, change(a, rng.randrange(6))) for a in texts[:60]]
     for tau in (1, 3):
         close = [p for p in pairs if abs(len(p[0]) - len(p[1])) <= tau]
