@@ -36,6 +36,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def located(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with the place of each row as two more longs, and their names: a hash of the Parquet file's path, and the row's number there.
+
+    A table that is not just read from Parquet files is written to the shared folder first, so that places are stable.
+    """
+    names = []
+    for name in ("file", "pos"):
+        while name in docs.columns:
+            name = f"_{name}"
+        names.append(name)
+    node = docs._jdf.queryExecution().analyzed()
+    while node.nodeName() == "Project":
+        node = node.child()
+    if node.nodeName() != "LogicalRelation" or "Parquet" not in node.relation().getClass().getSimpleName() + str(getattr(node.relation(), "fileFormat", str)()):
+        docs = staged(docs, "rows")
+    at = docs.metadataColumn("_metadata")
+    return docs.select("*", F.xxhash64(at["file_path"]).alias(names[0]), at["row_index"].alias(names[1])), *names
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

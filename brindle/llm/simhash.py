@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, connected_components, documents, shared_dir
+from .common import chunks, connected_components, documents, located, shared_dir
 
 #: Fingerprints in one tile row, about.
 TILE = 1024
@@ -126,7 +126,7 @@ def shingles(text: bytes, width: int = NEAR_WIDTH) -> set[bytes]:
 
 
 def wide_fingerprints(docs: DataFrame) -> DataFrame:
-    """(id, digest, n, lo, hi): the digest and size of the set of shingles, and a SimHash of 128 bits of its distinct members."""
+    """(id, file, pos, digest, n, lo, hi) of (id, file, pos, text): digest and size of the set of shingles, and a SimHash of 128 bits of its distinct members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = xxhash.xxh3_128_digest
@@ -148,9 +148,10 @@ def wide_fingerprints(docs: DataFrame) -> DataFrame:
                         ones += np.unpackbits(two[k : k + 4096].view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
                     fps[i] = np.packbits(2 * ones > len(two)).view(np.uint64)
             lo, hi = (pa.array(np.ascontiguousarray(fps[:, k]).view(np.int64)) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), lo, hi], ["id", "digest", "n", "lo", "hi"])
+            names = ["id", "file", "pos"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), lo, hi], [*names, "digest", "n", "lo", "hi"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, digest binary, n long, lo long, hi long")
+    return docs.select("id", "file", "pos", "text").mapInArrow(run, "id long, file long, pos long, digest binary, n long, lo long, hi long")
 
 
 def near_candidates(sets: DataFrame, radius: int = NEAR_RADIUS, tile: int = NEAR_TILE) -> DataFrame:
@@ -193,9 +194,8 @@ def near_candidates(sets: DataFrame, radius: int = NEAR_RADIUS, tile: int = NEAR
     return left.join(tiles, ["step", "chunk"]).select(*(c + k for k in ("1", "") for c in names), same).mapInArrow(run, "a long, b long")
 
 
-def near_links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs of ids whose texts' sets of shingles have a Jaccard similarity of NEAR_SHARE at least, counted exactly."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+def near_links(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs of nodes whose texts' sets of shingles have a Jaccard similarity of NEAR_SHARE at least, counted exactly. texts: (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: tuple = (None, set())
@@ -210,24 +210,30 @@ def near_links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 good.append(5 * common >= 4 * (len(kept[1]) + len(y) - common))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()).filter(pa.array(good, pa.bool_())) for c in (a, b)], ["a", "b"])
 
-    found = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+    found = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
     return found.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component of near copies, the smallest doc_id's.
+    """docs with one row of each component of near copies: the smallest doc_id's, nulls last, and of rows that share it one by its place.
 
     Near copies share NEAR_SHARE of their sets of five-word shingles; a text of five words or fewer is one shingle, and
-    texts without words are equal. Repeats of the kept row go too if another row names them; rows without an id take no
-    part and stay. A 128-bit SimHash of the sets proposes pairs, which exact Jaccard similarity then decides.
+    texts without words are equal. A 128-bit SimHash of the sets proposes pairs, which exact Jaccard similarity then
+    decides. Rows are told apart by their places, so rows that share an id are judged each by its own text.
     """
     shared_dir(docs.sparkSession)
-    named = docs.where("doc_id is not null")
-    marks = wide_fingerprints(named).checkpoint()
-    sets = marks.groupBy("digest").agg(F.min("id").alias("node"), *(F.first(c).alias(c) for c in ("n", "lo", "hi"))).checkpoint()
-    links = near_links(named, near_candidates(sets).checkpoint())
+    rows, file, pos = located(docs)
+    texts = rows.select(F.col("doc_id").cast("long").alias("id"), F.col(file).alias("file"), F.col(pos).alias("pos"), "text")
+    marks = wide_fingerprints(texts).checkpoint()
+    best = F.struct(F.col("id").isNull().alias("unnamed"), "id", "file", "pos")
+    sets = marks.groupBy("digest").agg(F.min(best).alias("best"), *(F.first(c).alias(c) for c in ("n", "lo", "hi")))
+    sets = sets.withColumn("node", F.monotonically_increasing_id()).checkpoint()  # numbers are fixed here
+    pairs = near_candidates(sets).checkpoint()
+    met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(sets.select("node", "best.file", "best.pos"), "node")
+    links = near_links(texts.join(met, ["file", "pos"]).select("node", "text").checkpoint(), pairs)
     comp = connected_components(links)
-    classes = sets.select("digest", "node").join(comp, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    gone = marks.join(classes, "digest").where("id <> component").select(F.col("id").alias("_gone")).distinct()
-    kept = named.join(gone, named["doc_id"] == gone["_gone"], "left_anti")
-    return kept.unionByName(docs.where("doc_id is null"))
+    classes = sets.select("digest", "node", "best").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    stays = classes.groupBy("component").agg(F.min("best").alias("stays"))
+    gone = marks.join(classes.join(stays, "component").select("digest", "stays"), "digest").where("file <> stays.file or pos <> stays.pos")
+    gone = gone.select(F.col("file").alias(file), F.col("pos").alias(pos))
+    return rows.join(gone, [file, pos], "left_anti").select(*(rows[c] for c in docs.columns))

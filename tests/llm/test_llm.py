@@ -31,6 +31,39 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def test_the_whole_pipeline(spark, tmp_path):
+    """On a small folder of tables with nulls, empty and repeated rows, clashing names, near copies; and on empty tables."""
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice(["ka", "lo", "mi", "tu", "re"]) for _ in range(rng.randrange(1, 4)))
+    texts = [" ".join(word() for _ in range(60)) for _ in range(200)]
+    rows = [(i, t + (" gruzzak vlimpfe sniggork" * 3 if i % 5 == 0 else ""), "en", "src%d" % (i % 6), len(t)) for i, t in enumerate(texts)]
+    rows += [(1000 + i, texts[i].replace(" ", "  "), None, None, 1) for i in range(1, 30, 5)] + [(2000 + i, texts[i] + " end", None, "src0", 1) for i in range(2, 30, 5)]
+    rows += [rows[1], rows[1], (None, None, None, None, None), (4000, "", None, "src1", 0), (4001, "  ", None, "src1", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit(c) for c in ("file", "pos", "key", "digest", "_mix_n", "row", "best")})
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(200)], "doc_id long, quality long, toxic long")
+    for name, n in (("full", 1 << 30), ("none", 0)):
+        docs.limit(n).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.limit(n).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    held, kept = spark.read.parquet(f"{tmp_path}/full/documents.parquet"), {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, held, f"{tmp_path}/full").write.parquet(f"{tmp_path}/{k}")
+        held = spark.read.parquet(f"{tmp_path}/{k}")
+        kept[name] = held.collect()
+    ids = {name: [r.doc_id for r in x] for name, x in kept.items()}
+    assert all(held.columns[:12] == list(r.__fields__)[:12] for r in kept["mixing"])
+    clean = {i for i in range(200) if i % 5}
+    assert len(clean - set(ids["toxicity"])) <= 4 and len({i for i in range(0, 200, 5)} & set(ids["toxicity"])) <= 4
+    norm = [re.sub(r"[\x20\x09-\x0D]", "", r.text or "") for r in kept["exact_dedup"]]
+    assert len(norm) == len(set(norm)) == len({re.sub(r"[\x20\x09-\x0D]", "", r.text or "") for r in kept["toxicity"]})
+    assert not {2000 + i for i in range(2, 30, 5)} & set(ids["near_dedup"]) and set(ids["near_dedup"]) == {i for i in ids["exact_dedup"] if i is None or i < 2000 or i >= 4000}
+    assert set(ids["mixing"]) <= set(ids["near_dedup"]) and len(ids["sentencepiece"]) == len(ids["mixing"])
+    assert all(r.decoded == (r.text or "") for r in kept["sentencepiece"])
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (9, 8), (3, 3), (8, 7), (7, 9)] + [(100 + i, 101 + i) for i in range(50)], "a long, b long")
     got = dict(common.connected_components(edges).collect())
@@ -45,12 +78,25 @@ def test_exact(docs, digest, files):
     want = defaultdict(list)
     for i, t in rows:
         want[norm(t)].append((-len(t or ""), i is None, i))
-    got = exact.exact_groups(docs, digest, files).collect()
+    held, file, pos, found = exact.exact_groups(docs, digest, files)
+    got = held.select(F.col(file).alias("file"), F.col(pos).alias("pos"), "text").join(found, ["file", "pos"]).collect()
     assert len(got) == len(rows) and sum(r.kept for r in got) == len(want)
     for r in got:
-        group = want[norm(r.row.text)]
+        group = want[norm(r.text)]
         assert r.group_size == len(group) and r.keep_id == min(group, key=lambda x: (x[0], x[1], x[2] or 0))[2]
-    assert exact.drop_copies(docs).columns == docs.columns
+    kept = exact.drop_copies(docs)
+    assert kept.columns == docs.columns and Counter(norm(r.text) for r in kept.collect()) == dict.fromkeys(want, 1)
+
+
+def test_rows_are_located(spark, docs, tmp_path):
+    path = str(tmp_path / "t")
+    docs.withColumnsRenamed({"key": "file", "row": "_metadata"}).repartition(3).write.parquet(path)
+    read = spark.read.parquet(path)
+    for df in (read, read.select("*"), read.union(read), docs.withColumnRenamed("key", "pos")):
+        rows, file, pos = common.located(df)
+        assert rows.columns == [*df.columns, file, pos] and rows.select(file, pos).distinct().count() == rows.count() == df.count()
+    assert common.located(read)[0].inputFiles() == read.inputFiles() and common.located(read)[1] == "_file"
+    assert exact.drop_copies(read).columns == read.columns
 
 
 def test_empty_tables(empty):
@@ -87,7 +133,6 @@ def test_simhash(spark, docs):
     ids = [i for i in fp if i is not None]
     want = roots(ids, [(a, b) for a in ids for b in ids if (fp[a] ^ fp[b]).bit_count() <= 3])
     assert all(got[i][1] == want[i] for i in ids)
-    assert sorted(r.doc_id for r in simhash.drop_near_copies(docs).where("doc_id is not null").distinct().collect()) == sorted(set(want.values()))
 
 
 def test_hamming_links_are_complete(spark):
@@ -121,7 +166,10 @@ def test_near_copies_of_the_pipeline(spark, monkeypatch):
     want = sorted(set(roots(range(len(texts)), near).values()))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.drop_near_copies(df).collect()) == want and len(want) < len(texts)
-    sets = simhash.wide_fingerprints(df).withColumnRenamed("id", "node")
+    few = [(3, texts[0]), (5, texts[0]), (5, texts[40]), (5, texts[40]), (None, texts[0]), (None, texts[80]), (7, None), (6, "")]
+    kept = simhash.drop_near_copies(spark.createDataFrame(few, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(3, texts[0]), (5, texts[40]), (None, texts[80]), (6, "")], key=str)
+    sets = simhash.wide_fingerprints(df.selectExpr("doc_id id", "0L file", "0L pos", "text")).withColumnRenamed("id", "node")
     assert simhash.near_candidates(sets, tile=7).count() == simhash.near_candidates(sets).count()
 
 
