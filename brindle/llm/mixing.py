@@ -8,8 +8,9 @@ pass, and each partition is sorted by it.
 
 Defined results: sources without a weight of their own (null too) form one class that takes REST; a class without text
 gets rate zero; a null text counts as empty but is replicated as any; a null doc_id hashes as empty text, so such rows
-share a draw, as do rows that repeat an id; an empty table gives none. The columns of docs pass through; names that clash
-with an added column are an error of the caller's naming and are kept apart by the prefix `_mix_` here.
+share a draw, as do rows that repeat an id; an empty table gives none. The columns of docs, whatever their names, pass
+through in a struct of their own. A rare source may need many copies of a row: they are exploded in ranges of SPLIT,
+which are spread over all tasks first.
 """
 
 from __future__ import annotations
@@ -38,14 +39,22 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
-def poisson_steps(mean: float) -> list[float]:
-    """The distribution function at 0, 1, ... as far as a 52-bit uniform number can lie above it."""
-    steps, total, k = [], 0.0, 0
+#: Copies of a row that one task writes at once.
+SPLIT = 1024
+
+
+def poisson_steps(mean: float) -> tuple[int, list[float]]:
+    """A count that no 52-bit uniform number falls short of, and the distribution function there and on, as far as one can lie above it.
+
+    Their number grows with the square root of the mean.
+    """
+    least = max(0, math.floor(mean - 9 * math.sqrt(mean) - 60))
+    steps, total, k = [], 0.0, least
     while mean > 0 and (k <= mean or 1 - total > 2.0**-52) and k < mean + 60 + 20 * math.sqrt(mean):
         total = min(1.0, total + math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)))
         steps.append(total)
         k += 1
-    return steps
+    return least, steps
 
 
 def rates(docs: DataFrame, mix: Mix) -> dict[str | None, float]:
@@ -58,31 +67,38 @@ def rates(docs: DataFrame, mix: Mix) -> dict[str | None, float]:
 
 
 def mixed(docs: DataFrame, mix: Mix = Mix(), partitions: int | None = None) -> DataFrame:
-    """docs replicated to the target weights, in an order shuffled over all partitions, with _mix_copy (from 0), _mix_rate and _mix_key."""
+    """(row, copy, rate, key): the rows of docs, replicated to the target weights, in an order shuffled over all partitions; copy counts from 0."""
     if any(w < 0 for w in mix.weights.values()) or sum(mix.weights.values()) > 1 + 1e-9:
         raise ValueError("weights must be 0 or more and sum to 1 at most")
     mean = rates(docs, mix)
-    steps, rate = F.array(*map(F.lit, poisson_steps(mean[None]))).cast("array<double>"), F.lit(mean[None])
-    for s in mix.weights:
-        at = F.col("source").eqNullSafe(F.lit(s))
-        steps = F.when(at, F.array(*map(F.lit, poisson_steps(mean[s]))).cast("array<double>")).otherwise(steps)
-        rate = F.when(at, F.lit(mean[s])).otherwise(rate)
-    u = uniform(F.lit(mix.seed), F.col("doc_id"))
-    count = F.size(F.filter(steps, lambda c: c <= F.col("_mix_u")))
-    drawn = docs.withColumn("_mix_u", u).withColumn("_mix_n", count).withColumn("_mix_rate", rate).where("_mix_n > 0")
-    copies = drawn.withColumn("_mix_copy", F.explode(F.sequence(F.lit(0), F.col("_mix_n") - 1))).drop("_mix_u", "_mix_n")
-    copies = copies.withColumn("_mix_key", uniform(F.lit(mix.seed + 1), F.col("doc_id"), F.col("_mix_copy")))
+    table = {s: poisson_steps(m) for s, m in mean.items()}
+    known = [s for s in mix.weights]
+
+    def by_class(value) -> Column:
+        out = value(None)
+        for s in known:
+            out = F.when(docs["source"].eqNullSafe(F.lit(s)), value(s)).otherwise(out)
+        return out
+
+    steps = by_class(lambda s: F.array(*map(F.lit, table[s][1])).cast("array<double>"))
+    drawn = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].alias("id"), steps.alias("steps"), by_class(lambda s: F.lit(table[s][0])).alias("least"), by_class(lambda s: F.lit(mean[s])).alias("rate"), uniform(F.lit(mix.seed), docs["doc_id"]).alias("u"))
+    drawn = drawn.select("row", "id", "rate", (F.col("least") + F.size(F.filter("steps", lambda c: c <= F.col("u")))).alias("n")).where("n > 0").withColumn("begin", F.lit(0))
+    if max(least + len(found) for least, found in table.values()) > SPLIT:
+        drawn = drawn.withColumn("begin", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(SPLIT)))).repartition(F.xxhash64("id", "begin"))
+    copies = drawn.select("row", "id", "rate", F.explode(F.sequence("begin", F.least(F.col("begin") + SPLIT, F.col("n")) - 1)).alias("copy"))
+    copies = copies.select("row", "copy", "rate", uniform(F.lit(mix.seed + 1), F.col("id"), F.col("copy")).alias("key"))
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return copies.repartitionById(n, F.floor(F.col("_mix_key") * n).cast("int")).sortWithinPartitions("_mix_key")
+    return copies.repartitionById(n, F.floor(F.col("key") * n).cast("int")).sortWithinPartitions("key")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixed(documents(spark, sf_dir))
-    return found.select("doc_id", "source", "text", F.col("_mix_copy").cast("long").alias("copy"), F.col("_mix_key").alias("shuffle_key"))
+    found = mixed(documents(spark, sf_dir).select("doc_id", "source", "text"))
+    return found.select("row.doc_id", "row.source", "row.text", F.col("copy").cast("long").alias("copy"), F.col("key").alias("shuffle_key"))
 
 
 def mix_sources(docs: DataFrame) -> DataFrame:
-    return mixed(docs).select(*docs.columns)
+    """The replicated rows of docs, with its columns."""
+    return mixed(docs).select("row.*")
 
 
 OP4_SQL = """
@@ -92,8 +108,9 @@ d AS (SELECT *, CASE WHEN source IN ('src0', 'src1', 'src2', 'src3') THEN source
 size AS (SELECT class, sum(length(text))::DOUBLE AS n FROM d GROUP BY class),
 rate AS (SELECT size.class, weight::DOUBLE * (SELECT sum(n) FROM size) / n AS mean FROM size JOIN w ON size.class IS NOT DISTINCT FROM w.source),
 step AS (SELECT class, k, sum(exp(k * ln(mean) - mean - lgamma(k + 1.0))) OVER (PARTITION BY class ORDER BY k) AS cdf
-         FROM rate, range(0, 200) r(k) WHERE k < mean + 60 + 20 * sqrt(mean)),
-copies AS (SELECT d.doc_id, d.source, d.text, step.k AS copy FROM d JOIN step ON d.class IS NOT DISTINCT FROM step.class AND step.cdf <= d.u)
+         FROM (SELECT class, mean, unnest(range(greatest(0, floor(mean - 9 * sqrt(mean) - 60))::BIGINT, ceil(mean + 60 + 20 * sqrt(mean))::BIGINT)) AS k FROM rate)),
+copies AS (SELECT d.doc_id, d.source, d.text, step.k AS copy FROM d JOIN step ON d.class IS NOT DISTINCT FROM step.class AND step.cdf <= d.u
+           UNION ALL SELECT d.doc_id, d.source, d.text, unnest(range(0, greatest(0, floor(mean - 9 * sqrt(mean) - 60))::BIGINT)) FROM d JOIN rate ON d.class IS NOT DISTINCT FROM rate.class)
 SELECT doc_id, source, text, copy::BIGINT AS copy,
        ('0x' || substr(md5('18:' || coalesce(doc_id::VARCHAR, '') || ':' || copy), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS shuffle_key
 FROM copies

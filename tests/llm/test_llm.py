@@ -174,12 +174,18 @@ def test_near_copies_of_the_pipeline(spark, monkeypatch):
 
 
 def test_mixing(spark, docs):
-    assert mixing.poisson_steps(0.0) == [] and mixing.poisson_steps(700.0)[-1] == pytest.approx(1)
+    assert mixing.poisson_steps(0.0) == (0, []) and mixing.poisson_steps(700.0)[1][-1] == pytest.approx(1)
+    least, steps = mixing.poisson_steps(1e6)
+    middle = least + sum(c <= 0.5 for c in steps)
+    assert least > 0.98e6 and len(steps) < 40_000 and abs(middle - 1e6) < 3 and steps[0] < 2**-52
+    rare = spark.range(0, 3001).selectExpr("id doc_id", "if(id = 3000, 'src0', 'x') source", "repeat('t', 10) text")
+    many = mixing.mixed(rare, mixing.Mix({"src0": 0.5}, 2.0)).where("row.source = 'src0'").select("copy").collect()
+    assert sorted(r["copy"] for r in many) == list(range(len(many))) and abs(len(many) - 3001) < 6 * 3001**0.5
     df = spark.range(6000).selectExpr("id doc_id", "case when id < 3000 then 'src0' when id < 4500 then 'src1' end source", "'text' text")
-    got = mixing.mixed(df, mixing.Mix({"src0": 0.2, "src1": 0.5}, 2.0)).groupBy("source").count().collect()
+    got = mixing.mixed(df, mixing.Mix({"src0": 0.2, "src1": 0.5}, 2.0)).groupBy("row.source").count().collect()
     share = {r["source"]: r["count"] / 12000 for r in got}
     assert share["src0"] == pytest.approx(0.2, abs=0.02) and share["src1"] == pytest.approx(0.5, abs=0.02) and share[None] == pytest.approx(0.3, abs=0.02)
-    keys = [r[0] for r in mixing.mixed(df).select("_mix_key").collect()]
+    keys = [r[0] for r in mixing.mixed(df).select("key").collect()]
     assert keys == sorted(keys) and mixing.mix_sources(docs).columns == docs.columns
     with pytest.raises(ValueError):
         mixing.mixed(df, mixing.Mix({"a": 1.5}))
