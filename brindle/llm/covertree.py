@@ -10,8 +10,8 @@ In many dimensions unrelated vectors are about equally far apart, so cells seldo
 grows with the square of the blocks; then the tree saves the work below its first level only.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing and are their
-own component; vectors of different lengths don't link; rows that repeat a vec_id count as vectors each; ties at exactly
-the threshold link; an empty table gives none; other columns, labels too, are ignored.
+own component; a row without a vec_id links with nothing and has no component; vectors of different lengths don't link;
+rows that repeat a vec_id count as vectors each; ties at exactly the threshold link; an empty table gives none; other columns, labels too, are ignored.
 """
 
 from __future__ import annotations
@@ -29,9 +29,12 @@ from pyspark.sql import functions as F
 from .common import connected_components, ragged, shared_dir
 
 #: Points in a block, about; and pivots, at most.
-BLOCK, PIVOTS = 4096, 2048
-RADII = (1.0, 0.5, 0.25, 0.125, 0.0625, 0.0)
+BLOCK, PIVOTS = 8192, 2048
+#: A level of radius 1 separates nothing: two unrelated vectors are 1.41 apart, and its nodes reach that far.
+RADII = (0.5, 0.25, 0.125, 0.0625, 0.0)
 EPS = 1e-9
+#: More than a cosine of unit vectors in single precision can be off.
+SINGLE = 2e-5
 STRIP = 512
 
 
@@ -44,7 +47,7 @@ def unit(raw: np.ndarray) -> np.ndarray:
 
 def build(raw: np.ndarray) -> dict:
     """A tree over the rows of raw: the order of points that makes each node a range, and for each level its nodes."""
-    v = unit(raw)
+    v = unit(raw).astype(np.float32)  # radii are rounded up by SINGLE
     order = np.arange(len(v))
     nodes = [(0, len(v))]  # ranges of order; the first point is the centre
     levels = []
@@ -63,7 +66,7 @@ def build(raw: np.ndarray) -> dict:
                     inside = cos >= least
                     inside[0] = True
                     own = left[inside]
-                    cover = math.sqrt(max(0.0, 2 - 2 * cos[inside].min())) + EPS if len(own) > 1 else 0.0
+                    cover = math.sqrt(max(0.0, 2 - 2 * (float(cos[inside].min()) - SINGLE))) + EPS if len(own) > 1 else 0.0
                     parts.append((own, cover))
                     left = left[~inside]
                 order[a:b] = rest[np.concatenate([p for p, _ in parts])]
@@ -113,17 +116,24 @@ def dual(x: dict, y: dict, same: bool, cosine: float) -> tuple[np.ndarray, np.nd
     first: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     rx, ry = x["levels"][0][2], y["levels"][0][2]
     wide = np.flatnonzero(ry > 0)
+    px, py = vx[start_x].astype(np.float32), vy[start_y].astype(np.float32)
     for s in range(0, len(start_x), STRIP):
-        cos = vx[start_x[s : s + STRIP]] @ vy[start_y].T
-        # |a - b| <= t exactly where cos >= 1 - t^2 / 2
+        low = s if same else 0  # each pair once
+        cos = px[s : s + STRIP] @ py[low:].T
+        # |a - b| <= t exactly where cos >= 1 - t^2 / 2; in single precision first, with room for its error
         t = reach + EPS + rx[s : s + STRIP, None]
-        keep = cos >= 1 - t * t / 2  # holds for single points of y; its wider nodes follow
-        t = t + ry[None, wide]
-        keep[:, wide] = cos[:, wide] >= 1 - t * t / 2
-        if same:
-            keep &= np.arange(s, s + len(cos))[:, None] <= np.arange(len(start_y))[None, :]
+        keep = cos >= (1 - t * t / 2 - SINGLE).astype(np.float32)  # holds for single points of y; its wider nodes follow
+        more = wide[wide >= low]
+        t = t + ry[None, more]
+        keep[:, more - low] = cos[:, more - low] >= 1 - t * t / 2 - SINGLE
         i, j = np.nonzero(keep)
-        first.append((i + s, j, cos[i, j]))
+        i, j = i + s, j + low
+        if same:
+            i, j = i[i <= j], j[i <= j]
+        cos = np.einsum("ij,ij->i", vx[start_x[i]], vy[start_y[j]])
+        t = reach + EPS + rx[i] + ry[j]
+        sound = cos >= 1 - t * t / 2
+        first.append((i[sound], j[sound], cos[sound]))
     i, j, cos = (np.concatenate(z) for z in zip(*first)) if first else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
     for level in range(len(RADII)):
         lx, ly = x["levels"][level], y["levels"][level]
@@ -253,17 +263,20 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.9, block: int = BLOCK
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf)))
     sound = F.coalesce(finite & F.exists("embedding", lambda x: x != 0), F.lit(False)) & F.col("vec_id").isNotNull()
-    points = rows.where(sound).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")).checkpoint()
+    points = rows.where(sound).groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
+    points = points.withColumn("rep", F.monotonically_increasing_id()).checkpoint()  # numbers are fixed here
     parts = []
     for r in points.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).collect():  # a row for each length of vector
-        parts.append(threshold_links(points.where(F.size("embedding") == r["dim"]), r["n"], r["dim"], cosine, block))
+        parts.append(threshold_links(points.where(F.size("embedding") == r["dim"]).drop("least"), r["n"], r["dim"], cosine, block))
     found = vectors.sparkSession.createDataFrame([], "rep long, links long, root long")
     for p in parts:
         found = found.unionByName(p)
     found = found.checkpoint()
     count = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("rep"), "component")
-    classes = points.join(count, "rep", "left").join(comp, "rep", "left").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    classes = points.join(count, "rep", "left").join(comp, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
+    classes = classes.join(least, "component").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
     good = rows.where(sound).join(classes, "embedding").select("vec_id", "n_links", "component_id")
     bad = rows.where(~sound).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return good.union(bad).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

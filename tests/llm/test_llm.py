@@ -405,11 +405,15 @@ def test_embeddings(spark, block):
     e = np.concatenate([base[rng.integers(0, 12, 200)] + rng.normal(size=(200, 8)) * rng.choice([0, 0.001, 0.1, 0.3], size=(200, 1)), rng.normal(size=(60, 8))]).astype(np.float32)
     e[:20] = e[0]
     rows = [(i, x.tolist()) for i, x in enumerate(e)]
-    odd = [(900, None), (901, []), (902, [0.0] * 8), (903, [1.0, None] * 4), (904, [math.nan] * 8), (905, [math.inf] * 8), (906, [1.0, 2.0])]
+    odd = [(900, None), (901, []), (902, [0.0] * 8), (903, [1.0, None] * 4), (904, [math.nan] * 8), (905, [math.inf] * 8), (906, [1.0, 2.0]), (None, [1.0] * 8)]
     got = {r.vec_id: r for r in covertree.embedding_groups(spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>"), block=block).collect()}
     links, root = brute_links(e)
     assert all(got[i].n_links == links[i] and got[i].component_id == root[i] and got[i].kept == (root[i] == i) for i in range(len(e)))
-    assert all(got[i].n_links == 0 and got[i].kept for i, _ in odd)
+    assert all(got[i].n_links == 0 and got[i].kept and got[i].component_id == i for i, _ in odd)
+    tie = [(1, [1.0, 0.0, 0.0]), (2, [0.9, 0.19**0.5, 0.0]), (2, [0.0, 0.0, 2.0]), (3, [0.0, 0.0, 5.0]), (3, [0.0, 0.0, 5.0])]
+    at = float(covertree.unit(np.array([tie[0][1]]))[0] @ covertree.unit(np.array([tie[1][1]]))[0])
+    rows = covertree.embedding_groups(spark.createDataFrame(tie, "vec_id long, embedding array<double>"), cosine=at).collect()
+    assert sorted(map(tuple, rows)) == [(1, 1, 1, True), (2, 1, 1, False), (2, 2, 2, True), (3, 2, 2, False), (3, 2, 2, False)]
     assert covertree.embedding_groups(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
