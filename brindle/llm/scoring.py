@@ -10,8 +10,9 @@ predicted from the context. What follows it is predicted by the layer too (the o
 them), interpolated with the word's share among the training words of that first piece, by the Good-Turing estimate of
 how many tokens are new words.
 
-How the work is laid out: documents are handled in blocks; a block sends its distinct words once, gets each word's corpus
-count and pieces back, and is scored in one task. So a shuffle carries distinct words by block, not words.
+How the work is laid out: documents are handled in blocks of neighbouring rows of a file; where its text lies, a block's
+distinct words are counted, and these alone travel for the corpus counts and pieces. Then text and words of each block
+meet in one task, which scores it: texts cross the network once. Rows that repeat lie in as many blocks as they fill.
 
 The attention weights start from a fit on the driver (about SAMPLE_CHARS of training documents, by hash), only so that all
 tasks start alike. Then each partition of the training documents goes on from there over all its windows, once, and the
@@ -20,7 +21,8 @@ the layer learns from every training document, as the counts do.
 
 Defined results: a null or empty text is its end alone; words no piece covers fall back to the tokenizer's byte pieces;
 without training documents N is 0 and the base is uniform; repeated rows count each; very long texts are scored whole;
-extra columns are ignored; an empty table gives none.
+a row without a doc_id is scored, and it learns nothing as its fold is unknown; extra columns are ignored; an empty table
+gives none.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, documents, ragged, split_words, staged
+from .common import chunks, documents, located, ragged, split_words, staged
 
 #: Positions of a window, how many of them it scores, and the model's width and classes.
 WINDOW, STRIDE, WIDTH, CLASSES = 24, 16, 16, 112
@@ -117,37 +119,42 @@ class Adam:
 
 
 def learn(m: Attention, adam: Adam, window: np.ndarray, lr: float) -> None:
-    """One step on a batch of windows of piece numbers."""
+    """One step on a batch of windows of piece numbers. All in single precision, in place where it can be."""
     adam.step += 1
     step, first, second = adam.step, adam.first, adam.second
     ids, target = window[:, :-1], m.kind[window[:, 1:]].ravel()
-    logits, h, a, q, k, v, gap = forward(m, ids, 0)
-    p = np.exp(logits - logits.max(axis=1, keepdims=True))
-    p /= p.sum(axis=1, keepdims=True)
+    p, h, a, q, k, v, gap = forward(m, ids, 0)
+    np.minimum(p, np.float32(80), out=p)
+    np.exp(p, out=p)
+    p /= p @ np.ones((CLASSES, 1), np.float32)
     p[np.arange(len(target)), target] -= 1
-    p /= len(target)
-    grad = {"out": h.reshape(-1, WIDTH).T @ p, "out_bias": p.sum(axis=0)}
+    p *= np.float32(1 / len(target))
+    grad = {"out": h.reshape(-1, WIDTH).T @ p, "out_bias": np.ones(len(p), np.float32) @ p}
     dh = (p @ m.out.T).reshape(h.shape)
     da = np.matmul(dh, v.transpose(0, 2, 1))
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
+    da -= np.einsum("bij,bij->bi", da, a)[:, :, None]
+    da *= a
     flat = np.zeros(WINDOW, np.float32)
-    np.add.at(flat, np.clip(gap, 0, WINDOW - 1).ravel(), (ds.sum(axis=0) * (gap >= 0)).ravel())
+    np.add.at(flat, np.clip(gap, 0, WINDOW - 1).ravel(), (da.sum(axis=0) * (gap >= 0)).ravel())
     grad["bias"] = flat
     scale = np.float32(WIDTH**-0.5)
-    by_piece = {"query": np.matmul(ds, k) * scale, "key": np.matmul(ds.transpose(0, 2, 1), q) * scale, "value": np.matmul(a.transpose(0, 2, 1), dh), "rest": dh}
-    used, back = np.unique(ids.ravel(), return_inverse=True)
-    order = np.argsort(back, kind="stable")
-    cuts = np.searchsorted(back[order], np.arange(len(used)))
+    every = np.concatenate([np.matmul(da, k * scale), np.matmul(da.transpose(0, 2, 1), q * scale), np.matmul(a.transpose(0, 2, 1), dh), dh], axis=2).reshape(-1, len(BY_PIECE) * WIDTH)
+    flat_ids = ids.ravel()
+    order = np.argsort(flat_ids, kind="stable")
+    ranked = flat_ids[order]
+    cuts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    used = ranked[cuts]
+    every = np.add.reduceat(every[order], cuts, axis=0)
     for c, g in grad.items():
         first[c] = 0.9 * first[c] + 0.1 * g
         second[c] = 0.99 * second[c] + 0.01 * g * g
         setattr(m, c, (getattr(m, c) - lr * (first[c] / (1 - 0.9**step)) / (np.sqrt(second[c] / (1 - 0.99**step)) + 1e-8)).astype(np.float32))
-    for c, g in by_piece.items():
-        g = np.add.reduceat(g.reshape(-1, WIDTH)[order], cuts, axis=0)
-        f, s, table = first[c], second[c], getattr(m, c)
-        f[used] = 0.9 * f[used] + 0.1 * g
-        s[used] = 0.99 * s[used] + 0.01 * g * g
-        table[used] -= (lr * f[used] / (np.sqrt(s[used]) + 1e-8) * 0.3).astype(np.float32)
+    for n, c in enumerate(BY_PIECE):
+        g, table = every[:, n * WIDTH : (n + 1) * WIDTH], getattr(m, c)
+        f = first[c][used] * np.float32(0.9) + np.float32(0.1) * g
+        s = second[c][used] * np.float32(0.99) + np.float32(0.01) * g * g
+        first[c][used], second[c][used] = f, s
+        table[used] -= np.float32(0.3 * lr) * f / (np.sqrt(s) + np.float32(1e-8))
 
 
 def train(m: Attention, sequences: np.ndarray, steps: int = STEPS, seed: int = 0, rate: float = 0.02) -> Attention:
@@ -336,17 +343,22 @@ def pieces_of(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(chain.from_iterable(ids), np.uint16, int(n.sum())), n
 
 
-def _block_words(docs: pa.Table) -> pa.Table:
-    """The block's distinct words, lower-cased, and how often each stands in its training documents."""
-    words, counts = split_words(_lowered(docs))
-    learn = np.repeat(docs.column("learn").to_numpy(zero_copy_only=False), counts)
-    coded = pc.dictionary_encode(words)
-    times = np.bincount(coded.indices.to_numpy()[learn], minlength=len(coded.dictionary))
-    block = docs.column("block")[0].as_py()
-    return pa.table({"block": pa.array(np.full(len(times), block, np.int64)), "word": coded.dictionary.cast(pa.string()), "n": pa.array(times.astype(np.int64))})
+def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of each block's rows in a piece of text, lower-cased, and how often each stands in its training documents."""
+    for batch in chunks(batches, "text", BLOCK_BYTES):
+        words, counts = split_words(_lowered(batch))
+        learn = np.repeat(batch.column("learn").to_numpy(zero_copy_only=False), counts)
+        coded = pc.dictionary_encode(words)
+        kinds = len(coded.dictionary)
+        blocks, own = np.unique(batch.column("block").to_numpy(), return_inverse=True)
+        key = np.repeat(own, counts) * kinds + coded.indices.to_numpy()
+        seen = np.bincount(key, minlength=len(blocks) * kinds)
+        at = np.flatnonzero(seen)
+        times = np.bincount(key[learn], minlength=len(seen))[at]
+        yield pa.RecordBatch.from_arrays([pa.array(blocks[at // max(1, kinds)]), coded.dictionary.take(pa.array(at % max(1, kinds))).cast(pa.string()), pa.array(times.astype(np.int64))], ["block", "word", "n"])
 
 
-def _lowered(docs: pa.Table) -> pa.Array:
+def _lowered(docs: pa.Table | pa.RecordBatch) -> pa.Array:
     text = docs.column("text")
     return pc.ascii_lower(text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text)
 
@@ -355,12 +367,14 @@ def score_texts(docs: DataFrame, training: Column, path: str | None = None, samp
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), learning from the rows where training holds."""
     path = path or default_model()
     spark = docs.sparkSession
-    slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("learn"))
+    rows, file, pos = located(docs)
+    slim = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("learn"), F.col(file).alias("file"), F.col(pos).alias("pos"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slim = slim.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(-(-size // BLOCK_BYTES) or 1)))
+    size, number = slim.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    size = size or 0
+    slim = slim.withColumn("block", F.xxhash64("file", F.floor(F.col("pos") / max(1, BLOCK_BYTES * number // max(1, size))))).drop("file", "pos")
     by_block = slim.groupBy("block")
-    words = staged(by_block.applyInArrow(_block_words, "block long, word string, n long"), "block-words")
+    words = staged(slim.select("block", "text", "learn").mapInArrow(_block_words, "block long, word string, n long"), "block-words")
 
     # what a word costs is looked up once for the whole corpus
     counted = words.groupBy("word").agg(F.sum("n").alias("c"))
