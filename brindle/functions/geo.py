@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+GEOJSON = T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.ArrayType(T.DoubleType()))])
 
 EARTH_KM = 6371.0087714
 _NUMBER = r"[-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?"
@@ -26,6 +30,23 @@ def parse_polygon(text: str) -> list[tuple[float, float]]:
     return ring
 
 
+def is_point(value: Column) -> Column:
+    """Whether a GeoJSON value is a point on the globe; never null."""
+    at = value.getField("coordinates")
+    sound = (value.getField("type") == "Point") & F.size(at).between(2, 3) & (F.abs(F.get(at, 0)) <= 180) & (F.abs(F.get(at, 1)) <= 90)
+    return F.coalesce(sound, F.lit(False))
+
+
+def from_geojson(value: Column) -> Column:
+    """The stored form of a GeoJSON point; null for what is none."""
+    at = value.getField("coordinates")
+    return F.when(is_point(value), F.struct(F.get(at, 0).alias("lon"), F.get(at, 1).alias("lat")))
+
+
+def to_geojson(point: Column) -> Column:
+    return F.when(point.isNotNull(), F.struct(F.lit("Point").alias("type"), F.array(point.getField("lon"), point.getField("lat")).alias("coordinates")))
+
+
 def distance_km(point: Column, lon: float, lat: float) -> Column:
     """Great-circle distance; null for a null point."""
     la, lo = F.radians(point.getField("lat")), F.radians(point.getField("lon"))
@@ -35,9 +56,19 @@ def distance_km(point: Column, lon: float, lat: float) -> Column:
 
 
 def within_box(point: Column, lon: float, lat: float, km: float) -> Column:
-    """A latitude band that holds the circle: a range that a scan can push down."""
+    """A box that holds the circle, over the date line in two parts: ranges that a scan can push down."""
     reach = km / EARTH_KM * 57.29577951308232 + 1e-6
-    return (point.getField("lat") >= lat - reach) & (point.getField("lat") <= lat + reach)
+    y, x = point.getField("lat"), point.getField("lon")
+    band = (y >= lat - reach) & (y <= lat + reach)
+    if abs(lat) + reach >= 90:
+        return band  # a pole lies within: any longitude
+    wide = math.degrees(math.asin(min(1.0, math.sin(math.radians(reach)) / math.cos(math.radians(lat))))) + 1e-6
+    west, east = lon - wide, lon + wide
+    if west < -180:
+        return band & ((x >= west + 360) | (x <= east))
+    if east > 180:
+        return band & ((x >= west) | (x <= east - 360))
+    return band & (x >= west) & (x <= east)
 
 
 def in_polygon(point: Column, ring: list[tuple[float, float]]) -> Column:

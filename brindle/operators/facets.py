@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.analysis import NORMALIZERS
+from ..functions.analysis import normalizer
 from ..plans.schema import Index, RequestError
 
 SORTS = {"count": ("count", True), "-count": ("count", False), "value": ("value", False), "-value": ("value", True)}
@@ -17,6 +17,10 @@ UNITS = ("minute", "hour", "day", "week", "month", "quarter", "year")
 NUMBERS = ("Edm.Int32", "Edm.Int64", "Edm.Double")
 
 
+#: Bounds of an interval facet.
+MAX_BOUNDS = 10_000
+
+
 @dataclass
 class Facet:
     path: object
@@ -70,7 +74,7 @@ def parse_facet(index: Index, text: str) -> Facet:
 
 def _each(match: DataFrame, facet: Facet) -> tuple[Column, bool]:
     column = facet.path.column()
-    fold = NORMALIZERS[facet.path.leaf.normalizer] if facet.path.leaf.normalizer else None
+    fold = normalizer(facet.path.leaf.normalizer) if facet.path.leaf.normalizer else None
     if facet.path.many or facet.path.leaf.collection:
         column = F.filter(column, lambda x: x.isNotNull())
         return F.array_distinct(F.transform(column, fold) if fold else column), True
@@ -134,11 +138,16 @@ def truncated(at: Column, unit: str, offset: int = 0) -> Column:
 
 def date_facet(match: DataFrame, facet: Facet) -> DataFrame:
     """(start, count) of the units that hold dates, empty ones between them included, and one empty unit after the last."""
-    column, _ = _each(match, facet)
-    starts = match.select(truncated(column.cast("timestamp"), facet.interval, facet.offset).alias("start")).where("start is not null")
+    column, many = _each(match, facet)
+    start = lambda x: truncated(x.cast("timestamp"), facet.interval, facet.offset)
+    starts = match.select((F.explode(F.array_distinct(F.transform(column, start))) if many else start(column)).alias("start")).where("start is not null")
     counts = starts.groupBy("start").agg(F.count("*").alias("count"))
     step = "interval 3 months" if facet.interval == "quarter" else f"interval 1 {facet.interval}"
     scale = counts.agg(F.min("start").alias("a"), F.max("start").alias("b")).where("a is not null")
+    seconds = {"minute": 60, "hour": 3600, "day": 86400, "week": 7 * 86400, "month": 28 * 86400, "quarter": 89 * 86400, "year": 365 * 86400}[facet.interval]
+    span = scale.select(F.unix_timestamp("b") - F.unix_timestamp("a")).first()
+    if span is not None and span[0] / seconds > MAX_BOUNDS:
+        raise RequestError("a date facet has 10,000 bounds at most")
     scale = scale.select(F.explode(F.expr(f"sequence(a, b + {step}, {step})")).alias("start"))
     return scale.join(counts, "start", "left").select("start", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 

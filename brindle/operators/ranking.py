@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..functions.analysis import NORMALIZERS
+from ..functions.analysis import normalizer
 from ..plans.schema import Index, RequestError
 
 MAX_CLAUSES, RRF_K, TEXT_RECALL = 32, 60, 1000
@@ -32,7 +32,11 @@ def order_columns(index: Index, text: str | None, tie: str, scored: bool = True)
         m = re.fullmatch(r"(.*?)(?:\s+(\w+))?", part)
         body, way = (m[1], (m[2] or "").lower())
         down = way == "desc"
-        if re.fullmatch(r"search\.score\(\s*\)", body):
+        if body.startswith("search.score("):
+            if not re.fullmatch(r"search\.score\(\s*\)", body):
+                raise RequestError("search.score takes no arguments")
+            if not scored:
+                raise RequestError("vector results can't be ordered by search.score()")
             out.append(F.col("score").asc() if way == "asc" else F.col("score").desc())
             continue
         g = re.fullmatch(r"geo\.distance\(\s*(?:([\w/]+)\s*,\s*geography'([^']*)'|geography'([^']*)'\s*,\s*([\w/]+))\s*\)", body)
@@ -48,13 +52,13 @@ def order_columns(index: Index, text: str | None, tie: str, scored: bool = True)
             raise RequestError(f"{body} is not sortable")
         column = path.column()
         if path.leaf.item == "Edm.String":
-            column = NORMALIZERS[path.leaf.normalizer](column) if path.leaf.normalizer else column
+            column = normalizer(path.leaf.normalizer)(column) if path.leaf.normalizer else column
             out.append(column.desc_nulls_last() if down else column.asc_nulls_first())
             continue
         zero = {"Edm.Boolean": F.lit(False), "Edm.DateTimeOffset": F.lit(datetime(1970, 1, 1)).cast("timestamp")}.get(path.leaf.item, F.lit(0))
         column = F.coalesce(column.cast("timestamp") if path.leaf.item == "Edm.DateTimeOffset" else column, zero)
         out.append(column.desc() if down else column.asc())
-    if not parts and scored:
+    if not parts:
         out.append(F.col("score").desc())
     return [*out, F.col(tie).asc()]
 
@@ -116,14 +120,15 @@ def interpolate(t: Column, how: str, boost: float) -> Column:
     return 1 + F.lit(boost - 1) * rest
 
 
-_DURATION = re.compile(r"(-)?P(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+(?:\.\d+)?)S)?)?")
+_DURATION = re.compile(r"(-)?P(?:(\d+)Y)?(?:(\d+)M)?(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+(?:\.\d+)?)S)?)?")
 
 
 def duration_ms(text: str) -> float:
     m = _DURATION.fullmatch(text)
     if not m or not any(m.groups()[1:]):
         raise RequestError(f"not a duration: {text}")
-    d, h, mi, s = (float(x or 0) for x in m.groups()[1:])
+    y, mo, d, h, mi, s = (float(x or 0) for x in m.groups()[1:])
+    d += 365 * y + 30 * mo
     return (-1 if m[1] else 1) * (((d * 24 + h) * 60 + mi) * 60 + s) * 1000
 
 
@@ -173,6 +178,13 @@ def profile_multiplier(index: Index, profile: dict, parameters: dict[str, str],
     return F.when(F.size(boosts) == 0, 1.0).otherwise(total)
 
 
+def applied(score: Column, multiplier: Column) -> Column:
+    """The score under a profile, in single precision; what is not finite becomes the largest number."""
+    most = float(np.finfo(np.float32).max)
+    product = score * multiplier
+    return F.when(F.isnan(product) | (F.abs(product) > most), F.lit(most)).otherwise(product).cast("float").cast("double")
+
+
 def parse_parameters(values: list[str]) -> dict[str, str]:
     out = {}
     for v in values:

@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..functions.analysis import NORMALIZERS
+from ..functions.analysis import normalizer
 from .schema import Field, Index, Path, RequestError
 
 _TOKEN = re.compile(r"""\s*(?:(?P<geo>geography'(?:[^']|'')*')|(?P<str>'(?:[^']|'')*')|(?P<date>\d{4}-\d\d-\d\d(?:T\d\d:\d\d(?::\d\d(?:\.\d+)?)?(?:Z|[+-]\d\d:\d\d))?)
@@ -158,18 +158,18 @@ def coerce(value, field: Field):
 class Normal(str):
     """A string literal compared in normalised form."""
 
-    def __new__(cls, value: str, normalizer: str):
+    def __new__(cls, value: str, normalizer: str | dict):
         self = super().__new__(cls, value)
         self.normalizer = normalizer
         return self
 
 
 def _lit(value) -> Column:
-    return NORMALIZERS[value.normalizer](F.lit(str(value))) if isinstance(value, Normal) else F.lit(value)
+    return normalizer(value.normalizer)(F.lit(str(value))) if isinstance(value, Normal) else F.lit(value)
 
 
 def _base(column: Column, field: Field) -> Column:
-    return NORMALIZERS[field.normalizer](column) if field.normalizer and field.item == "Edm.String" else column
+    return normalizer(field.normalizer)(column) if field.normalizer and field.item == "Edm.String" else column
 
 
 def compare(column: Column, op: str, value) -> Pair:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,8 +30,11 @@ class Field:
     sortable: bool | None = None
     facetable: bool = False
     retrievable: bool = True
-    analyzer: str | None = None
-    normalizer: str | None = None
+    #: Names, or definitions; an index puts its own definitions in the place of their names.
+    analyzer: str | dict | None = None
+    index_analyzer: str | dict | None = None
+    search_analyzer: str | dict | None = None
+    normalizer: str | dict | None = None
     dimensions: int | None = None
     metric: str = "cosine"
     synonyms: tuple[str, ...] = ()
@@ -116,10 +119,21 @@ class Index:
     profiles: dict[str, dict] = field(default_factory=dict)
     default_profile: str | None = None
     similarity: str = "tfidf"
+    #: Custom chains by name: charFilters, tokenizer and tokenFilters, each a name or a dict with options.
+    analyzers: dict[str, dict] = field(default_factory=dict)
+    normalizers: dict[str, dict] = field(default_factory=dict)
 
     def __post_init__(self):
         if sum(f.key for f in self.fields) != 1:
             raise RequestError("an index has exactly one key field")
+        self.fields = tuple(map(self._resolved, self.fields))
+
+    def _resolved(self, f: Field) -> Field:
+        named = {k: v for k in ("analyzer", "index_analyzer", "search_analyzer") if isinstance(v := getattr(f, k), str)}
+        own = {k: self.analyzers[v] for k, v in named.items() if v in self.analyzers}
+        if isinstance(f.normalizer, str) and f.normalizer in self.normalizers:
+            own["normalizer"] = self.normalizers[f.normalizer]
+        return replace(f, **own, fields=tuple(map(self._resolved, f.fields)))
 
     @property
     def key(self) -> str:

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.functions import analysis, geo
-from brindle.operators import facets, ranking, text
+from brindle.operators import facets, ranking, text, writes
+from brindle.plans import render
 from brindle.plans.odata import Compiler, Parser
 from brindle.plans.schema import Field, Index, RequestError
 from brindle.plans.search import Request, Search, Vector
@@ -160,8 +161,25 @@ def test_analysis(spark):
     assert one(analysis.NORMALIZERS["standard"], "NEVÁDA Straße") == "nevada strasse"
     assert one(analysis.analyzer({"tokenizer": "whitespace", "tokenFilters": ["shingle"]}), "a b c") == ["a", "b", "c", "a b", "b c"]
     assert analysis.synonym_rules("usa, united states\ndog => canine, hound") == ({"usa": {"usa", "united states"}, "united states": {"usa", "united states"}}, {"dog": {"canine", "hound"}})
-    with pytest.raises(ValueError):
-        analysis.analyzer("fr.microsoft")
+    assert one(analysis.analyzer("fr.microsoft"), "The Quick fox") == ["quick", "fox"]
+    for bad in ("unheard.of", {"tokenizer": "none"}, {"tokenizer": "whitespace", "tokenFilters": ["none"]}, {"tokenFilters": []}, {"tokenizer": {"name": "nGram", "minGram": 3, "maxGram": 2}}):
+        with pytest.raises(RequestError):
+            analysis.analyzer(bad)
+    run = lambda t, *filters, tokenizer="whitespace": one(analysis.analyzer({"tokenizer": tokenizer, "tokenFilters": list(filters)}), t)
+    assert run("ab abc", {"name": "edgeNGram_v2", "minGram": 2, "maxGram": 3}) == ["ab", "ab", "abc"] and run("abc", {"name": "edgeNGram_v2", "side": "back"}) == ["c", "bc"]
+    assert run("a b c d", {"name": "shingle", "maxShingleSize": 3, "outputUnigrams": False, "tokenSeparator": "_"}) == ["a_b", "b_c", "c_d", "a_b_c", "b_c_d"]
+    assert run("keep the dog", {"name": "keep", "keepWords": ["dog"]}) == ["dog"] and run("a bb ccc", {"name": "length", "min": 2, "max": 2}) == ["bb"] and run("a b c", {"name": "limit", "maxTokenCount": 2}) == ["a", "b"]
+    assert run("the quick fox", {"name": "common_grams", "commonWords": ["the"]}) == ["the", "the_quick", "quick", "fox"]
+    assert run("donaudampf", {"name": "dictionary_decompounder", "wordList": ["donau", "dampf"]}) == ["donaudampf", "dampf", "donau"]
+    assert run("PowerShot500", {"name": "word_delimiter", "catenateAll": True}) == ["Power", "Shot", "500", "PowerShot500"]
+    assert run("abc123", {"name": "pattern_capture", "patterns": ["[a-z]+", "[0-9]+"]}) == ["abc123", "abc", "123"]
+    assert run("usa x", {"name": "synonym", "synonyms": ["usa, america"]}) == ["america", "usa", "x"] and run("ran", {"name": "stemmer_override", "rules": ["ran => run"]}) == ["run"]
+    assert run("ponies running cats", "porter_stem") == ["poni", "run", "cat"] and run("ＡＢ", "cjk_width") == ["AB"]
+    assert one(analysis.analyzer("ja.lucene"), "東京都 abc") == ["東京", "京都", "abc"] and one(analysis.analyzer("en.lucene"), "The running dogs") == ["run", "dog"]
+    assert one(analysis.analyzer({"type": "PatternAnalyzer", "pattern": ","}), "A,b c") == ["a", "b c"] and one(analysis.analyzer({"type": "StopAnalyzer", "stopwords": ["x"]}), "the x") == ["the"]
+    assert run("aaaa", tokenizer={"name": "standard_v2", "maxTokenLength": 3}) == ["aaa", "a"] and run("/a/b", tokenizer="path_hierarchy_v2") == ["/a", "/a/b"]
+    assert one(analysis.analyzer({"charFilters": [{"name": "mapping", "mappings": ["& => and"]}, {"name": "pattern_replace", "pattern": "\\d", "replacement": "#"}], "tokenizer": "whitespace"}), "a & 1") == ["a", "and", "#"]
+    assert one(analysis.normalizer({"tokenFilters": ["lowercase", {"name": "pattern_replace", "pattern": "-", "replacement": ""}]}), "A-B") == "ab"
 
 
 def test_geo(spark):
@@ -190,6 +208,119 @@ def test_store_and_stream(spark, tmp_path):
         c.put(Index("items", (Field("id", S, key=True),)))
 
 
+def test_batches_are_checked(spark, tmp_path):
+    index = Index("shops", (Field("id", S, key=True), Field("n", I), Field("at", "Edm.GeographyPoint"), Field("v", "Collection(Edm.Single)", dimensions=3), Field("Rooms", "Collection(Edm.ComplexType)", fields=(Field("r", D), Field("p", "Edm.GeographyPoint")))))
+    c = Catalog(spark, str(tmp_path))
+    c.put(index)
+    up = lambda i, **k: {"@search.action": "upload", "id": i, **k}
+    point = lambda x, y: {"type": "Point", "coordinates": [x, y]}
+    got = c.index_items("shops", [up("1", n=1, at=point(5, 6), v=[1, 2, 3], Rooms=[{"r": 1.5, "p": point(1, 2)}]), up("2", n="abc"), up("3", v=[1, 2]), up("4", v=[1, None, 2]), up("5", at=point(500, 6)), up("6", at={"type": "Line"}), up("7", Rooms=[{"r": "x"}]), up("8", Rooms=[{"p": point(0, 99)}]), up("9", n=None)])
+    assert [r["status_code"] for r in got] == [200, *[400] * 7, 200] and "vector" in got[2]["message"] and "GeoJSON" in got[4]["message"] and got[0]["message"] is None
+    rows = {r["id"]: r for r in c.read("shops").collect()}
+    assert sorted(rows) == ["1", "9"] and rows["1"]["at"].asDict() == {"lon": 5.0, "lat": 6.0} and rows["1"]["Rooms"][0]["p"].asDict() == {"lon": 1.0, "lat": 2.0}
+    with pytest.raises(RequestError):
+        c.index_items("shops", [up("10"), {"@search.action": "rename", "id": "1"}])
+    assert c.count("shops") == 2 and c.get_doc("shops", "1").first()["n"] == 1 and c.get_doc("shops", "zz").count() == 0
+    before = rows["9"]["_seq"]
+    c.index_items("shops", [{"@search.action": "merge", "id": "9", "n": 4}, up("20"), up("21")])
+    after = {r["id"]: r["_seq"] for r in c.read("shops").collect()}
+    assert after["9"] == before and before < after["20"] < after["21"]
+    results = spark.createDataFrame([(200,), (404,)], "status_code int")
+    assert writes.batch_status(results).first()[0] == 207 and writes.batch_status(results.limit(1)).first()[0] == 200
+    c.vacuum("shops")
+    assert c.count("shops") == 4 and c.statistics("shops")["document_count"] == 4 and c.drop("shops") and not c.drop("shops") and c.names() == []
+
+
+def test_writers_at_once_lose_nothing(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    c = Catalog(spark, str(tmp_path))
+    c.put(Index("many", (Field("id", S, key=True), Field("n", I))))
+    one = lambda k: c.index_items("many", [{"@search.action": "mergeOrUpload", "id": f"w{k}", "n": k}])[0]["status_code"]
+    with ThreadPoolExecutor(4) as pool:
+        assert set(pool.map(one, range(8))) == {200}
+    assert c.count("many") == 8 and len({r["_seq"] for r in c.read("many").collect()}) == 8
+
+
+def test_definitions_are_checked(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path))
+    key = Field("id", S, key=True)
+    good = Index("good", (key, Field("t", S, searchable=True, analyzer="mine", normalizer="low"), Field("n", D), Field("at", "Edm.GeographyPoint")), analyzers={"mine": {"tokenizer": "whitespace", "tokenFilters": ["lowercase"]}}, normalizers={"low": {"tokenFilters": ["lowercase"]}}, suggesters={"sg": ("t",)}, profiles={"p": {"weights": {"t": 2}, "functions": [{"type": "magnitude", "fieldName": "n", "boost": 2, "magnitude": {}}]}})
+    assert c.put(good) and c.get("good").allows_change(good) and good.allows_change(c.get("good"))
+    df = spark.createDataFrame([("1", "Foo_Bar Café", 1.0, None, 0), ("2", "other", 2.0, None, 1)], good.spark().add("_seq", "long"))
+    find = lambda i, q, **k: ids_of(Search(i, df, Request(search=q, **k)).match())
+    ids_of = lambda d: sorted(r["id"] for r in d.select("id").collect())
+    assert find(good, "FOO_BAR") == ["1"] and find(good, "foo_bar café", mode="all") == ["1"] and ids_of(Search(good, df, Request(filter="t eq 'OTHER'")).match()) == ["2"]
+    plain = lambda a: Index("x", (key, Field("t", S, searchable=True, analyzer=a), Field("n", D), Field("at", "Edm.GeographyPoint")))
+    assert find(plain("standard"), "foo_bar") == ["1"] and find(plain("pattern"), "Café") == find(plain("standardasciifolding.lucene"), "cafe") == ["1"]
+    function = lambda **k: Index("x", good.fields, profiles={"p": {"functions": [{"type": "magnitude", "fieldName": "n", "boost": 2, "magnitude": {}, **k}]}})
+    bad = [
+        Index("x", (key, Field("c", "Edm.ComplexType"))), Index("x", (key, Field("c", "Edm.ComplexType", fields=(Field("k", S), Field("K", S))))), Index("x", (key, Field("v", "Collection(Edm.Single)", dimensions=1))),
+        Index("x", (key, Field("v", "Collection(Edm.Single)", dimensions=3, facetable=True))), Index("x", (key, Field("t", S, searchable=True, analyzer="nope"))), Index("x", (key, Field("t", S, analyzer="simple"))),
+        Index("x", (key, Field("t", S, normalizer="nope"))), Index("x", (key, Field("t", S, searchable=True, synonyms=("m",)))), Index("x", (key,), default_profile="p"), Index("x", (key,), suggesters={"s": ("id",)}),
+        Index("x", (key, Field("t", S, searchable=True, search_analyzer="simple"))), function(boost=1), function(fieldName="t"), function(interpolation="cubic"), function(type="tag", tag={}),
+        Index("x", (key, Field("t", S, searchable=True)), profiles={"p": {"weights": {"t": 0}}}), Index("x", (key,), analyzers={"a": {"tokenizer": "nope"}}),
+    ]
+    for k, index in enumerate(bad):
+        with pytest.raises(RequestError):
+            c.put(index)
+            print(k)
+    assert c.put_synonyms("M", "a, b") and not c.put_synonyms("m", "a, b, c") and c.synonym_names() == ["m"] and c.get_synonyms("m")["synonyms"] == "a, b, c"
+    with pytest.raises(RequestError):
+        c.put_synonyms("m2", "=> b")
+    assert c.put(Index("y", (key, Field("t", S, searchable=True, synonyms=("m",))))) and find(c.get("y"), "x") == [] and "a" in c.synonyms()["m"][0] and c.drop_synonyms("m") and not c.drop_synonyms("m")
+
+
+def test_full_syntax(hotels):
+    find = lambda q, **k: "".join(ids(Search(HOTEL, hotels, Request(search=q, syntax="full", **k)).match()))
+    assert find("inn AND seattle") == "1" and find("inn OR suites") == "123" and find("inn NOT seattle") == find("inn -seattle") == find("+inn !seattle") == "3" and find("inn seattle") == "13" and find("inn seattle", mode="all") == "1"
+    assert find("Name:budget") == "3" and find("s?attle") == "1" and find("*town") == "1" and find("/po.*d/") == "3" and find("[portland TO seattle]") == "13" and find("{portland TO seattle}") == ""
+    assert find('"seattle inn"~1') == "1" and find('"seattle inn"') == "" and find('"inn seattle"~3') == "1" and find("budgte~1") == "3" and find("(suites OR budget) AND inn") == "3"
+    assert ids(Search(HOTEL, hotels, Request(filter="search.ismatch('s?attle', 'Name', 'full', 'any')")).match()) == ["1"]
+    scores = {r["Id"]: r["score"] for r in Search(HOTEL, hotels, Request(search="budget^5 downtown", syntax="full")).match().collect()}
+    assert scores["3"] > scores["1"]
+    for bad in ("(inn", "inn)", "Rating:5", "nope:inn"):
+        with pytest.raises(RequestError):
+            find(bad)
+    assert "".join(ids(Search(HOTEL, hotels, Request(search='"seattle inn"~1')).match())) == "1"
+
+
+def test_highlights_suggestions_and_rendering(hotels):
+    r = Request(search="inn", highlight=("Name",), before="[", after="]", orderby="Id")
+    marked = [x["highlight_Name"] for x in Search(HOTEL, hotels, r).page().collect()]
+    assert marked == [["Seattle Downtown [inn]"], ["Portland Budget [inn]"]]
+    tags = Index("hotels", tuple(Field(**{**f.__dict__, "searchable": True}) if f.name == "Tags" else f for f in HOTEL.fields))
+    assert Search(tags, hotels, Request(search="wifi", highlight=("Tags-1",))).page().first()["highlight_Tags"] == ["<em>wifi</em>"]
+    with pytest.raises(RequestError):
+        Search(HOTEL, hotels, Request(search="inn", highlight=("Rating",))).page()
+    s = Search(HOTEL, hotels, Request(before="<", after=">", select="Id"))
+    assert [tuple(x) for x in s.suggest("SG", "seattle dow", mark=True).collect()] == [("1", "<Seattle> <Dow>ntown inn")] and s.suggest("sg", "seatlte dow", fuzzy=True).count() == 1
+    assert {x["query_plus_text"] for x in s.autocomplete("sg", "nice b", plus=True).collect()} == {"nice bellevue", "nice budget"}
+    for bad in (lambda: s.suggest("none", "a"), lambda: s.suggest("sg", "a", top=101), lambda: Search(HOTEL, hotels, Request(search_fields=("Rating",))).suggest("sg", "a"), lambda: s.autocomplete("sg", "a", "threeTerms")):
+        with pytest.raises(RequestError):
+            bad()
+    import json
+
+    hits = [json.loads(x["hit"]) for x in render.hits(HOTEL, Search(HOTEL, hotels, Request(orderby="Id")).page()).collect()]
+    assert hits[0]["Place"] == {"type": "Point", "coordinates": [-122.33, 47.6]} and "Rating" not in hits[2] and hits[0]["@search.score"] == 1.0
+    name, found = render.buckets(HOTEL, "rating", Search(HOTEL, hotels, Request(facets=("Rating,values:4",))).facet("rating"))
+    assert name == "Rating" and [json.loads(x["bucket"]) for x in found.orderBy("bucket").collect()] == [{"from": 4.0, "count": 2}, {"to": 4.0, "count": 1}]
+    assert render.failure(RequestError("x")) == (400, {"error": {"code": "InvalidRequest", "message": "x"}}) and render.failure(KeyError("x"))[0] == 500 and render.coverage(50) == {"@search.coverage": 100.0} and render.coverage(None) == {}
+    form = dict(render.parameters({"$filter": "Rating eq 5", "facet": ["Rating"], "searchMode": "all", "$top": "3", "sessionId": "s", "queryType": "full"}))
+    assert form == {"filter": "Rating eq 5", "facets": ("Rating",), "mode": "all", "top": 3, "syntax": "full"} and ids(Search(HOTEL, hotels, Request(**form)).match()) == ["1"]
+    with pytest.raises(RequestError):
+        dict(render.parameters({"$skip": "x"}))
+
+
+def test_circles_have_boxes(spark):
+    rng = random.Random(1)
+    rows = [((rng.uniform(-180, 180), rng.uniform(-90, 90)),) for _ in range(3000)]
+    d = spark.createDataFrame(rows, "p struct<lon:double,lat:double>")
+    for lon, lat, km in ((179, 10, 900), (-179.5, -40, 700), (10, 89, 500), (20, 50, 1500)):
+        inside = geo.distance_km(F.col("p"), lon, lat) <= km
+        assert d.where(inside & ~geo.within_box(F.col("p"), lon, lat, km)).isEmpty() and not d.where(inside).isEmpty()
+
+
 def test_entry():
     import __spark_entry__ as e
 
