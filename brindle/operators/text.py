@@ -198,9 +198,6 @@ class TextQuery:
 
     def __init__(self, index: Index, fields: list[str] | None = None, synonyms: dict[str, tuple[dict, dict]] | None = None, weights: dict[str, float] | None = None, full: bool = False):
         self.every = [p for p in index.leaves() if p.leaf.searchable and p.leaf.item == "Edm.String"]
-        for f in fields or ():
-            if not any(p.name.lower() == f.lower() for p in self.every):
-                raise RequestError(f"{f} is not searchable")
         wanted = {f.lower() for f in fields} if fields else None
         self.paths = self.every[:1] if full else [p for p in self.every if not wanted or p.name.lower() in wanted]
         if not self.paths:
@@ -322,9 +319,14 @@ class TextQuery:
     @staticmethod
     def run_of(tokens: Column, words: list[str], slop: int = 0) -> Column:
         """Whether the words stand in a row, or with shifts from that of slop in all."""
+        return F.get(F.transform(F.array(tokens), lambda t: TextQuery._run(t, words, slop)), 0)  # tokens are computed once, not at every place
+
+    @staticmethod
+    def _run(tokens: Column, words: list[str], slop: int) -> Column:
         n = len(words)
         if slop:
-            begin = F.sequence(F.lit(1 - n - slop), F.size(tokens))
+            begin = F.filter(F.transform(tokens, lambda t, i: F.when(t.isin(words), i + 1)), lambda i: i.isNotNull())
+            begin = F.array_distinct(F.flatten(F.transform(begin, lambda i: F.sequence(i - n - slop + 1, i))))
 
             def here(s: Column) -> Column:
                 out = F.lit(True)

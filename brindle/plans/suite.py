@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import analysis, geo
 from ..operators import facets, ranking, text, writes
+from ..sources.store import Catalog
+from . import render
 from .schema import Field, Index
 from .search import Request, Search, Vector
 
@@ -124,6 +129,29 @@ filters(C_SQL, CUSTOMER, customer, "c_custkey", {
     "filter_subfield": ("Address/Segment eq 'BUILDING' and Address/Nation lt 10", "c_mktsegment = 'BUILDING' AND c_nationkey < 10"),
     "filter_geo_null": ("place eq null", "lon IS NULL"),
 })
+NESTED = Index("orders", (Field("o_orderkey", I64, key=True), Field("lines", "Collection(Edm.ComplexType)", fields=(Field("qty", DBL), Field("marks", "Collection(Edm.String)")))))
+SPOTS = Index("customer", (Field("c_custkey", I64, key=True), Field("spots", "Collection(Edm.GeographyPoint)")))
+
+
+def nested(spark: SparkSession, d: str) -> DataFrame:
+    """orders whose lines have a collection of their own."""
+    return orders(spark, d).withColumn("lines", F.transform("lines", lambda x: F.struct(x["qty"].alias("qty"), F.array(x["flag"], x["mode"]).alias("marks"))))
+
+
+def spots(spark: SparkSession, d: str) -> DataFrame:
+    """customers with their place and its mirror image over the meridian, or with none."""
+    mirror = F.when(F.col("place").isNotNull(), F.struct((-F.col("place.lon")).alias("lon"), F.col("place.lat").alias("lat")))
+    return customer(spark, d).withColumn("spots", F.array_compact(F.array("place", mirror)))
+
+
+filters("orders", NESTED, nested, "o_orderkey", {
+    "lambda_nested": ("lines/any(l: l/marks/any(m: m eq 'R') and l/qty gt 45)", "EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND (l_returnflag = 'R' OR l_linestatus = 'R') AND l_quantity > 45)"),
+    "lambda_nested_all": ("lines/all(l: l/marks/any(m: m eq 'O') or l/qty lt 30)", "NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND NOT (l_returnflag = 'O' OR l_linestatus = 'O' OR l_quantity < 30))"),
+})
+filters(C_SQL, SPOTS, spots, "c_custkey", {
+    "geo_all": ("spots/all(p: geo.intersects(p, geography'POLYGON((-60 -40, 60 -40, 60 50, -60 50, -60 -40))'))", "lon IS NULL OR (lon >= -60 AND lon < 60 AND -lon >= -60 AND -lon < 60 AND lat >= -40 AND lat < 50)"),
+    "geo_all_distance": ("spots/all(p: geo.distance(p, geography'POINT(0 10)') lt 9000)", "lon IS NULL OR (" + KM.format(0, 10) + " < 9000 AND " + KM.format(0, 10).replace("radians(lon)", "radians(-lon)") + " < 9000)"),
+})
 filters("documents", DOCS, documents, "doc_id", {
     "filter_ismatch": ("search.ismatch('from with', 'text', 'simple', 'all') and lang ne 'de'", "TRUE"),
     "filter_ismatchscoring": ("search.ismatchscoring('oder', 'text') or lang eq 'es'", "lang = 'es'"),
@@ -133,9 +161,63 @@ ORACLE_SQL["filter_ismatch"] = "SELECT doc_id FROM documents WHERE lang <> 'de'
 ORACLE_SQL["filter_ismatchscoring"] = "SELECT doc_id FROM documents WHERE lang = 'es' OR " + _HAS.format("oder")
 
 
+STORED = Index("stored_part", (Field("p_partkey", I64, key=True), Field("p_name", S), Field("p_size", I32)))
+
+
+def lines_of(df: DataFrame, action: str | Column, seq: str) -> DataFrame:
+    """Batch items as JSON text, nulls written out."""
+    body = F.struct((F.lit(action) if isinstance(action, str) else action).alias("@search.action"), *(F.col(c) for c in df.columns))
+    return df.select(F.col(seq).cast("long").alias("seq"), F.to_json(body, {"ignoreNullFields": "false"}).alias("item"))
+
+
+def stored_part(spark: SparkSession, d: str) -> Catalog:
+    """A catalog that holds part, indexed as one batch."""
+    root = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="brindle-")).removeprefix("file://")
+    catalog = Catalog(spark, os.path.join(root, f"catalog-{uuid.uuid4().hex}"))
+    catalog.put(STORED)
+    catalog.index_lines("stored_part", lines_of(read(spark, d, "part").select("p_partkey", "p_name", "p_size"), "upload", "p_partkey")).unpersist()
+    return catalog
+
+
 @register("scan_index", "SELECT count(*) AS n, sum(p_size)::BIGINT AS total FROM part")
 def scan_index(spark, d):
-    return part(spark, d).agg(F.count("*").alias("n"), F.sum("p_size").cast("long").alias("total"))
+    return stored_part(spark, d).read("stored_part").agg(F.count("*").alias("n"), F.sum("p_size").cast("long").alias("total"))
+
+
+@register("get_doc", "SELECT p_partkey, p_name FROM part WHERE p_partkey = 42")
+def get_doc(spark, d):
+    return stored_part(spark, d).get_doc("stored_part", "42").select("p_partkey", "p_name")
+
+
+@register("doc_count", "SELECT count(*) AS n FROM part")
+def doc_count(spark, d):
+    return spark.createDataFrame([(stored_part(spark, d).count("stored_part"),)], "n long")
+
+
+@register("write_merge_null_clears", "SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN p_name END AS p_name, p_size FROM part")
+def write_merge_null_clears(spark, d):
+    table = read(spark, d, "part").select("p_partkey", "p_name", "p_size")
+    items = table.where("p_partkey % 5 = 0").select("p_partkey", F.lit(None).cast("string").alias("p_name"))
+    return writes.apply_batch(STORED, table, writes.parse_batch(STORED, lines_of(items, "merge", "p_partkey")))
+
+
+@register("batch_parse", "SELECT CASE WHEN p_partkey % 7 = 0 THEN 400 ELSE 200 END AS status_code, count(*) AS n FROM part GROUP BY 1")
+def batch_parse(spark, d):
+    size = F.when(F.col("p_partkey") % 7 == 0, "much").otherwise(F.col("p_size").cast("string"))
+    raw = read(spark, d, "part").select(F.col("p_partkey").alias("seq"), F.format_string('{"@search.action": "upload", "p_partkey": %d, "p_size": %s}', "p_partkey", F.when(size == "much", '"much"').otherwise(size)).alias("item"))
+    none = spark.createDataFrame([], STORED.spark())
+    return writes.statuses(STORED, none, writes.parse_batch(STORED, raw)).groupBy("status_code").agg(F.count("*").alias("n"))
+
+
+PLACES = Index("places", (Field("c_custkey", I64, key=True), Field("place", "Edm.GeographyPoint")))
+
+
+@register("geo_parse", "SELECT c_custkey, lon, lat FROM (SELECT c_custkey, (c_custkey * 37 % 4000) / 10.0::DOUBLE - 200 AS lon, (c_custkey * 53 % 2000) / 10.0::DOUBLE - 100 AS lat FROM customer) WHERE abs(lon) <= 180 AND abs(lat) <= 90")
+def geo_parse(spark, d):
+    at = F.array((F.col("c_custkey") * 37 % 4000) / 10.0 - 200, (F.col("c_custkey") * 53 % 2000) / 10.0 - 100)
+    items = read(spark, d, "customer").select("c_custkey", F.struct(F.lit("Point").alias("type"), at.alias("coordinates")).alias("place"))
+    parsed = writes.parse_batch(PLACES, lines_of(items, "upload", "c_custkey"))
+    return parsed.where("problem is null").select("doc.c_custkey", "doc.place.lon", "doc.place.lat")
 
 
 @register("match_all", "SELECT p_partkey, 1.0::DOUBLE AS score FROM part")
@@ -207,7 +289,15 @@ def order_geo(spark, d):
 
 @register("geo_render", "SELECT c_custkey, 'Point' AS type, lon, lat FROM " + C_SQL + " WHERE lon IS NOT NULL")
 def geo_render(spark, d):
-    return customer(spark, d).where("place is not null").select("c_custkey", F.lit("Point").alias("type"), "place.lon", "place.lat")
+    shown = render.rendered(CUSTOMER.need("place").leaf, F.col("place"))
+    return customer(spark, d).where("place is not null").select("c_custkey", shown.alias("p")).select("c_custkey", "p.type", F.get("p.coordinates", 0).alias("lon"), F.get("p.coordinates", 1).alias("lat"))
+
+
+@register("render_hits", "SELECT p_partkey::VARCHAR AS key, p_size IS NOT NULL AND p_size % 7 <> 0 AS has_small, 1.0::DOUBLE AS score FROM part WHERE p_size > 45")
+def render_hits(spark, d):
+    found = Search(PART, part(spark, d), Request(filter="p_size gt 45")).match().select("p_partkey", "small", "score")
+    at = lambda k: F.get_json_object("hit", f"$['{k}']")
+    return render.hits(PART, found).select(at("p_partkey").alias("key"), at("small").isNotNull().alias("has_small"), at("@search.score").cast("double").alias("score"))
 
 
 def facet_query(name: str, index: Index, source, spec: str, sql: str, columns: tuple[str, ...] = ("value", "count"), odata: str | None = None) -> None:
@@ -286,21 +376,51 @@ def vector_facet(spark, d):
 HYBRID = Index("hybrid", (Field("doc_id", I64, key=True), Field("text", S, searchable=True, analyzer="whitespace"), Field("embedding", "Collection(Edm.Single)", dimensions=64)))
 
 
-@register("hybrid_rrf", f"""WITH b AS (SELECT doc_id, text, embedding FROM documents JOIN embeddings ON doc_id = vec_id),
-t AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r FROM b WHERE list_contains(regexp_split_to_array(text, '\\s+'), 'the') QUALIFY r <= 0),
+_HYBRID_SQL = f"""WITH b AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w, embedding FROM documents JOIN embeddings ON doc_id = vec_id),
+c AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: x = 'that')) AS tf FROM b), s AS (SELECT count(*) AS n, sum((tf > 0)::INT) AS df FROM c),
+t AS (SELECT doc_id, row_number() OVER (ORDER BY sqrt(tf) * (1 + ln(s.n / (df + 1))) * (1 + ln(s.n / (df + 1))) / sqrt(c.n) DESC, doc_id) AS r FROM c, s WHERE tf > 0 QUALIFY r <= 1000),
 v AS (SELECT doc_id, row_number() OVER (ORDER BY {_COS} DESC, doc_id) AS r FROM b, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) QUALIFY r <= 20)
-SELECT doc_id, round((1.0 / (60 + r))::FLOAT::DOUBLE, 6) AS score FROM v""")
-def hybrid_rrf(spark, d):
-    df = documents(spark, d).select("doc_id", "text", "_seq").join(read(spark, d, "embeddings"), F.col("doc_id") == F.col("vec_id"))
-    r = Request(search="\u0000nothing", vectors=(Vector(query_vector(spark, d), ("embedding",), 20),))
-    return Search(HYBRID, df, r).match().select("doc_id", F.round(F.col("score").cast("double"), 6).alias("score"))
+SELECT doc_id, ((coalesce((1.0 / (60 + t.r))::FLOAT, 0::FLOAT) + coalesce((WEIGHT / (60 + v.r))::FLOAT, 0::FLOAT))::FLOAT)::DOUBLE AS score FROM t FULL JOIN v USING (doc_id)"""
+
+
+def hybrid_query(name: str, weight: float, digits: int | None = 6) -> None:
+    """Text and vector arms fused; without digits, the single-precision sums must agree to the last bit."""
+    sql = _HYBRID_SQL.replace("WEIGHT", repr(weight))
+
+    @register(name, f"SELECT doc_id, round(score, {digits}) AS score FROM ({sql})" if digits else sql)
+    def run(spark, d):
+        df = documents(spark, d).select("doc_id", "text", "_seq").join(read(spark, d, "embeddings"), F.col("doc_id") == F.col("vec_id"))
+        r = Request(search="that", vectors=(Vector(query_vector(spark, d), ("embedding",), 20, weight),))
+        score = F.col("score").cast("double")
+        return Search(HYBRID, df, r).match().select("doc_id", (F.round(score, digits) if digits else score).alias("score"))
+
+
+hybrid_query("hybrid_rrf", 1.0)
+hybrid_query("hybrid_weight", 2.5)
+hybrid_query("hybrid_fused", 0.5)
+hybrid_query("hybrid_float32", 1.0, None)
+
+TWO = Index("two", (Field("vec_id", I64, key=True), Field("embedding", "Collection(Edm.Single)", dimensions=64), Field("turned", "Collection(Edm.Single)", dimensions=64)))
+
+
+@register("vector_multi_field", f"""WITH e AS (SELECT vec_id, embedding, list_reverse(embedding) AS turned, (SELECT embedding FROM embeddings WHERE vec_id = 0) AS q FROM embeddings),
+a AS (SELECT vec_id, row_number() OVER (ORDER BY {_COS} DESC, vec_id) AS r FROM e QUALIFY r <= 20), b AS (SELECT vec_id, row_number() OVER (ORDER BY {_COS.replace("embedding", "turned")} DESC, vec_id) AS r FROM e QUALIFY r <= 20)
+SELECT vec_id, round((coalesce((1.0 / (60 + a.r))::FLOAT, 0::FLOAT) + coalesce((1.0 / (60 + b.r))::FLOAT, 0::FLOAT))::DOUBLE, 6) AS score FROM a FULL JOIN b USING (vec_id)""")
+def vector_multi_field(spark, d):
+    df = vectors(spark, d).withColumn("turned", F.reverse("embedding"))
+    found = Search(TWO, df, Request(vectors=(Vector(query_vector(spark, d), (), 20),))).match()
+    return found.select("vec_id", F.round(F.col("score").cast("double"), 6).alias("score"))
 
 
-@register("hybrid_fused")
-def hybrid_fused(spark, d):
-    df = documents(spark, d).select("doc_id", "text", "_seq").join(read(spark, d, "embeddings"), F.col("doc_id") == F.col("vec_id"))
-    r = Request(search="the", vectors=(Vector(query_vector(spark, d), ("embedding",), 20, 2.0),))
-    return Search(HYBRID, df, r).match().select("doc_id", F.round(F.col("score").cast("double"), 6).alias("score"))
+def single_vector(name: str, search: str | None) -> None:
+    @register(name, f"SELECT vec_id, round(score, 6) AS score FROM (SELECT vec_id, {_COS} AS score FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) ORDER BY score DESC, vec_id LIMIT 5)")
+    def run(spark, d):
+        r = Request(search=search, top=5, vectors=(Vector(query_vector(spark, d), ("embedding",), 20),))
+        return Search(VECTORS, vectors(spark, d), r).page().select("vec_id", F.round("score", 6).alias("score"))
+
+
+single_vector("vector_single", None)
+single_vector("vector_wildcard", "*")
 
 
 def text_query(name: str, query: str, mode: str, where: str) -> None:
@@ -327,6 +447,80 @@ def text_score(spark, d):
     return Search(index, documents(spark, d), Request(search="that")).match().select("doc_id", F.round("score", 6).alias("score"))
 
 
+_SCORED = r"""WITH d AS (SELECT doc_id, n_chars, lang, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents),
+t AS (SELECT doc_id, n_chars, len(w) AS n, len(list_filter(w, lambda x: x = 'that')) AS tf FROM d), s AS (SELECT count(*) AS n, sum((tf > 0)::INT) AS df FROM t),
+r AS (SELECT doc_id, n_chars, sqrt(tf) * (1 + ln(s.n / (df + 1))) * (1 + ln(s.n / (df + 1))) / sqrt(t.n) AS score FROM t, s WHERE tf > 0) """
+WORDS = (Field("doc_id", I64, key=True), Field("text", S, searchable=True, analyzer="whitespace"), Field("lang", S, searchable=True, analyzer="keyword"), Field("n_chars", I64))
+
+
+def scored(name: str, sql: str, request: Request, fields: tuple[Field, ...] = WORDS[:2] + WORDS[3:], profiles: dict | None = None, digits: int = 6) -> None:
+    @register(name, _SCORED + sql)
+    def run(spark, d):
+        index = Index("documents", fields, profiles=profiles or {}, default_profile="p" if profiles else None)
+        return Search(index, documents(spark, d), request).match().select("doc_id", F.round("score", digits).alias("score"))
+
+
+_LONG = {"type": "magnitude", "fieldName": "n_chars", "boost": 3, "magnitude": {"boostingRangeStart": 0, "boostingRangeEnd": 4000}}
+_BOOST = "CASE WHEN n_chars > 4000 THEN 1.0 ELSE 1 + 2 * (1 - greatest(0, n_chars / 4000.0::DOUBLE)) END"
+scored("score_weights", "SELECT doc_id, round(3 * score, 6) AS score FROM r", Request(search="that"), profiles={"p": {"weights": {"text": 3}}})
+scored("score_apply", f"SELECT doc_id, round((score * {_BOOST})::FLOAT::DOUBLE, 4) AS score FROM r", Request(search="that"), profiles={"p": {"functions": [_LONG]}}, digits=4)
+scored("score_wildcard", f"SELECT doc_id, round(({_BOOST})::FLOAT::DOUBLE, 4) AS score FROM d", Request(search="*"), profiles={"p": {"functions": [_LONG]}}, digits=4)
+
+
+def ordered(name: str, orderby: str | None, way: str) -> None:
+    @register(name, _SCORED + f"SELECT doc_id, row_number() OVER (ORDER BY score {way}, doc_id) AS rank FROM r QUALIFY rank <= 50")
+    def run(spark, d):
+        return ranks(Search(Index("documents", WORDS[:2]), documents(spark, d), Request(search="that", orderby=orderby)).page().select("doc_id"))
+
+
+ordered("order_default", None, "DESC")
+
+
+@register("order_score", f"SELECT doc_id, row_number() OVER (ORDER BY ({_BOOST})::FLOAT, doc_id) AS rank FROM documents QUALIFY rank <= 50")
+def order_score(spark, d):
+    index = Index("documents", (*WORDS[:2], WORDS[3]), profiles={"p": {"functions": [_LONG]}})
+    return ranks(Search(index, documents(spark, d), Request(search="*", profile="P", orderby="search.score() asc")).page().select("doc_id"))
+
+
+def fielded(name: str, request: Request, where: str) -> None:
+    @register(name, f"WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, regexp_split_to_array(text, '\\s+') AS w FROM documents) SELECT doc_id FROM d WHERE {where}")
+    def run(spark, d):
+        return Search(Index("documents", WORDS), documents(spark, d), request).match().select("doc_id")
+
+
+_LIKE = "len(list_filter(w, lambda x: regexp_matches(x, '^(?:{})$'))) > 0".format
+fielded("text_multifield", Request(search="that de"), f"{_W('that')} OR {_W('de')} OR lang = 'de'")
+fielded("text_searchfields", Request(search="that de", search_fields=("LANG", "nothing")), "lang = 'de'")
+fielded("text_full", Request(search='(th?t OR /wa[sx]/ OR text:"of the"~2) AND NOT lang:en', syntax="full"), "(" + _LIKE("th.t") + " OR " + _LIKE("wa[sx]") + " OR len(list_filter(range(1, len(w) + 1), lambda i: w[i] = 'of' AND (w[i + 1] = 'the' OR w[i + 2] = 'the' OR w[i + 3] = 'the' OR (i > 1 AND w[i - 1] = 'the')))) > 0) AND lang <> 'en'")
+fielded("text_full_default", Request(search="lang:fr OR [thz TO tn]", syntax="full"), "lang = 'fr' OR len(list_filter(w, lambda x: x >= 'thz' AND x <= 'tn')) > 0")
+fielded("text_regex", Request(search="/th.{2}/ -from", syntax="full"), _LIKE("th.{2}") + f" AND NOT {_W('from')}")
+
+
+@register("text_empty", "SELECT doc_id FROM documents WHERE FALSE")
+def text_empty(spark, d):
+    return Search(DOCS, documents(spark, d), Request(search="the and")).match().select("doc_id")
+
+
+@register("text_analyzer", r"SELECT doc_id FROM documents WHERE list_contains(regexp_extract_all(lower(text), '\p{L}+'), 'oder')")
+def text_analyzer(spark, d):
+    index = Index("documents", (Field("doc_id", I64, key=True), Field("text", S, searchable=True, analyzer="mine")), analyzers={"mine": {"tokenizer": "letter", "tokenFilters": ["lowercase"]}})
+    return Search(index, documents(spark, d), Request(search="ODER")).match().select("doc_id")
+
+
+@register("text_fuzzy", "SELECT p_partkey FROM part WHERE len(list_filter(string_split(p_name, ' '), lambda x: damerau_levenshtein(x, 'rign') <= 1)) > 0")
+def text_fuzzy(spark, d):
+    index = Index("part", (Field("p_partkey", I64, key=True), Field("p_name", S, searchable=True, analyzer="whitespace")))
+    return Search(index, part(spark, d), Request(search="rign~1")).match().select("p_partkey")
+
+
+@register("highlight", "SELECT p_partkey, regexp_replace(p_name, '\\b(blue|ring)\\b', '<b>\\1</b>', 'g') AS marked FROM part WHERE regexp_matches(p_name, '\\b(blue|ring)\\b')")
+def highlight(spark, d):
+    r = Request(search="blue ring", highlight=("p_name-2",), before="<b>", after="</b>")
+    found = Search(PART, part(spark, d), r)
+    marks = text.fragments(PART.need("p_name"), ["blue", "ring"], 2, r.before, r.after)
+    return found.match().select("p_partkey", F.get(marks, 0).alias("marked"))
+
+
 def analyzed(name: str, chain, pattern_sql: str, table: str = "documents", key: str = "doc_id", column: str = "text") -> None:
     @register(name, f"SELECT {key}, array_to_string({pattern_sql}, '|') AS tokens FROM {table}")
     def run(spark, d):
@@ -337,6 +531,9 @@ _STOP = "(" + ", ".join(f"'{w}'" for w in analysis.STOPWORDS) + ")"
 analyzed("analyze_whitespace", "whitespace", r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')")
 analyzed("analyze_simple", "simple", r"regexp_extract_all(lower(text), '\p{L}+')")
 analyzed("analyze_stop", "stop", rf"list_filter(regexp_extract_all(lower(text), '\p{{L}}+'), lambda x: x NOT IN {_STOP})")
+analyzed("analyze_standard", "standard", rf"list_filter(list_transform(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+(?:[''’.][\p{{L}}\p{{N}}_]+)*'), lambda x: lower(x)), lambda x: x NOT IN {_STOP})")
+analyzed("analyze_pattern", "pattern", r"list_filter(list_transform(regexp_split_to_array(text, '\W+'), lambda x: lower(x)), lambda x: x <> '')")
+analyzed("analyze_custom", {"charFilters": [{"name": "mapping", "mappings": ["small => tiny"]}], "tokenizer": "whitespace", "tokenFilters": ["uppercase", {"name": "length", "min": 4, "max": 9}]}, "list_filter(string_split(upper(replace(p_name, 'small', 'tiny')), ' '), lambda x: length(x) BETWEEN 4 AND 9)", "part", "p_partkey", "p_name")
 analyzed("analyze_keyword", "keyword", "[p_name]", "part", "p_partkey", "p_name")
 analyzed("analyze_edge_ngram", {"tokenizer": "edgeNGram"}, "[p_name[1:1], p_name[1:2]]", "part", "p_partkey", "p_name")
 analyzed("analyze_ngram", {"tokenizer": "nGram"}, "list_concat(list_transform(range(1, length(p_name) + 1), lambda i: p_name[i:i]), list_transform(range(1, length(p_name)), lambda i: p_name[i:i + 1]))", "part", "p_partkey", "p_name")
@@ -370,6 +567,13 @@ def synonym_map(spark, d):
     return Search(index, documents(spark, d), Request(search="that"), {"m": analysis.synonym_rules("that => der")}).match().select("doc_id")
 
 
+@register("synonym_chain", r"SELECT doc_id FROM (SELECT doc_id, regexp_split_to_array(text, '\s+') AS w FROM documents) WHERE list_contains(w, 'der') OR list_contains(w, 'das')")
+def synonym_chain(spark, d):
+    index = Index("documents", (Field("doc_id", I64, key=True), Field("text", S, searchable=True, analyzer="whitespace", synonyms=("a", "b"))))
+    maps = {"a": analysis.synonym_rules("that => der"), "b": analysis.synonym_rules("der, das")}
+    return Search(index, documents(spark, d), Request(search="that"), maps).match().select("doc_id")
+
+
 def boost_query(name: str, index: Index, source, key: str, profile: dict, parameters: tuple[str, ...], sql: str, table: str) -> None:
     @register(name, f"SELECT {key}, round({sql}, 6) AS boost FROM {table}")
     def run(spark, d):
@@ -395,6 +599,26 @@ def suggest(spark, d):
     return Search(PART, part(spark, d), Request()).suggest("sg", "bl", top=20).select("p_partkey")
 
 
+@register("suggest_text", "SELECT p_partkey, p_name AS suggestion FROM part WHERE len(list_filter(string_split(lower(p_name), ' '), lambda x: x = 'blue')) > 0 AND len(list_filter(string_split(lower(p_name), ' '), lambda x: starts_with(x, 'r'))) > 0 ORDER BY p_partkey LIMIT 100")
+def suggest_text(spark, d):
+    return Search(PART, part(spark, d), Request(select="p_partkey")).suggest("sg", "Blue r", top=100)
+
+
+@register("suggest_top", "SELECT p_partkey FROM part WHERE len(list_filter(string_split(lower(p_name), ' '), lambda x: starts_with(x, 'r'))) > 0 AND p_size > 20 ORDER BY p_retailprice DESC, p_partkey LIMIT 7")
+def suggest_top(spark, d):
+    return Search(PART, part(spark, d), Request(filter="p_size gt 20", orderby="p_retailprice desc", select="p_partkey")).suggest("SG", "r", top=7).select("p_partkey")
+
+
+@register("suggest_highlight", r"SELECT p_partkey, regexp_replace(p_name, '\b(blue\b|bo)', '<b>\1</b>', 'g') AS suggestion FROM part WHERE list_contains(string_split(p_name, ' '), 'blue') AND len(list_filter(string_split(p_name, ' '), lambda x: starts_with(x, 'bo'))) > 0 ORDER BY p_partkey LIMIT 50")
+def suggest_highlight(spark, d):
+    return Search(PART, part(spark, d), Request(select="p_partkey", before="<b>", after="</b>")).suggest("sg", "blue bo", top=50, mark=True)
+
+
+@register("autocomplete_context", "WITH w AS (SELECT string_split(lower(p_name), ' ') AS w FROM part), i AS (SELECT w, unnest(range(2, len(w) + 1)) AS i FROM w) SELECT w[i] AS completion, count(*) AS n, 'blue ' || w[i] AS query_plus_text FROM i WHERE starts_with(w[i], 'r') AND w[i - 1] = 'blue' GROUP BY ALL")
+def autocomplete_context(spark, d):
+    return Search(PART, part(spark, d), Request()).autocomplete("sg", "blue r", "oneTermWithContext", plus=True)
+
+
 @register("autocomplete_one", "SELECT w AS completion, count(*) AS n FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS w FROM part) WHERE starts_with(w, 'b') GROUP BY 1")
 def autocomplete_one(spark, d):
     return Search(PART, part(spark, d), Request()).autocomplete("sg", "b")
@@ -432,7 +656,7 @@ def write_status(spark, d):
     return writes.statuses(SMALL, *batch(spark, d)).groupBy("status_code").agg(F.count("*").alias("n"))
 
 
-@register("vector_validate", "SELECT count(*) AS n FROM embeddings WHERE len(embedding) = 64")
+@register("vector_validate", "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN FALSE ELSE len(embedding) = 64 END AS sound FROM embeddings")
 def vector_validate(spark, d):
-    sound = (F.size("embedding") == 64) & F.forall("embedding", lambda x: x.isNotNull())
-    return read(spark, d, "embeddings").where(sound).agg(F.count("*").alias("n"))
+    short = F.when(F.col("vec_id") % 3 == 0, F.slice("embedding", 1, 63)).otherwise(F.col("embedding"))
+    return read(spark, d, "embeddings").select("vec_id", writes.problem(VECTORS.need("embedding").leaf, short).isNull().alias("sound"))

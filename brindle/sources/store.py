@@ -189,7 +189,7 @@ class Catalog:
                 held = self._table(name, index, [version["buckets"][str(b)] for b in touched if str(b) in version["buckets"]])
                 data = f"data-{uuid.uuid4().hex}"
                 new = apply_batch(index, held, batch, version["top"]).withColumn("_bucket", self._bucket(F.col(f"`{index.key}`")))
-                new.write.partitionBy("_bucket").parquet(self._path(name, data))
+                new.repartition("_bucket").write.partitionBy("_bucket").parquet(self._path(name, data))
                 written = self.spark.read.schema(index.spark().add("_seq", "long")).parquet(self._path(name, data))
                 top = max(version["top"], written.agg(F.max("_seq")).first()[0] or 0)
                 out = statuses(index, held, batch).persist()
