@@ -9,7 +9,8 @@ few megabytes of text is segmented once.
 
 Defined results: a null or empty text has no ids, its spans are empty and it decodes to the empty text; a text of spaces
 only is encoded as the library does it; ids outside the vocabulary are an error; very long texts are encoded whole;
-repeated rows give repeated results; extra columns are ignored.
+repeated rows give repeated results; a null doc_id stays null; extra columns are ignored, and where they pass through, new
+columns get other names; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -84,6 +85,13 @@ class CharMap:
         self.units = struct.unpack(f"<{n // 4}I", blob[4 : 4 + n]) if n else ()
         self.targets = blob[4 + n :]
 
+    def firsts(self) -> set[int]:
+        """The bytes that a mapped prefix can begin with."""
+        if not self.units:
+            return set()
+        root = (self.units[0] >> 10) << ((self.units[0] & (1 << 9)) >> 6)
+        return {c for c in range(1, 256) if root ^ c < len(self.units) and self.units[root ^ c] & 0x800000FF == c}
+
     def longest(self, raw: bytes, at: int) -> tuple[bytes, int] | None:
         """The replacement of the longest mapped prefix of raw[at:], and that prefix's length."""
         if not self.units:
@@ -125,6 +133,7 @@ class Pieces:
                 rest += whole
         self.prefix, self.squeeze, self.escape = bool(norm.get(3, 1)), bool(norm.get(4, 1)), bool(norm.get(5, 1))
         self.map = CharMap(norm.get(2, b""))
+        self.begins: re.Pattern | bool | None = None
         self.user = sorted((t for t, k in zip(self.text, self.kind) if k == USER), key=len, reverse=True)
         idle = _message(3, _message(1, b"identity") + bytes([3 << 3, 0, 4 << 3, 0, 5 << 3, 0]))
         self.segmenter = sentencepiece.SentencePieceProcessor(model_proto=rest + idle)
@@ -136,41 +145,58 @@ class Pieces:
         self.byte = {i: int(t[3:5], 16) for i, (t, k) in enumerate(zip(self.text, self.kind)) if k == BYTE}
         self.out = [b"" if k == CONTROL else b" \xe2\x81\x87 " if k == UNKNOWN else t.replace(mark, b" ") for t, k in zip(self.text, self.kind)]
 
-    def plain(self) -> bool:
-        """Normalising only puts a mark in front and for every space."""
-        return not self.map.units and not self.squeeze and not self.user and self.prefix and self.escape
-
-    def normalise(self, raw: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
-        """The normalised bytes and, for each, where the original range begins and ends that it comes from."""
-        parts: list[tuple[bytes, int, int]] = []
-        at = 0
-        while at < len(raw):
+    def _hits(self, raw: bytes) -> list[tuple[int, int, bytes]]:
+        """(begin, end, replacement) of user pieces, which stay, and of the longest mapped prefixes, from left to right.
+
+        Only places whose byte can begin one are walked; all other characters stand for themselves.
+        """
+        if self.begins is None:
+            firsts = self.map.firsts() | {u[0] for u in self.user}
+            self.begins = re.compile(b"[" + b"".join(b"\\x%02x" % c for c in sorted(firsts)) + b"]") if firsts else False
+        if not self.begins:
+            return []
+        found, at = [], 0
+        while m := self.begins.search(raw, at):
+            at = m.start()
             own = next((u for u in self.user if raw.startswith(u, at)), None)
             hit = (own, len(own)) if own else self.map.longest(raw, at)
             if hit is None:
                 c = raw[at]
-                n = 1 if c < 0x80 else 2 if c < 0xE0 else 3 if c < 0xF0 else 4
-                hit = raw[at : at + n], n
-            parts.append((hit[0], at, at + hit[1]))
+                at += 1 if c < 0x80 else 2 if c < 0xE0 else 3 if c < 0xF0 else 4
+                continue
+            found.append((at, at + hit[1], hit[0]))
             at += hit[1]
+        return found
+
+    def normalise(self, raw: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """The normalised bytes and, for each, where the original range begins and ends that it comes from."""
+        text = np.frombuffer(raw, np.uint8)
+        lead = (text & 0xC0) != 0x80
+        first = np.flatnonzero(lead)
+        char = np.cumsum(lead) - 1
+        begin, end = first[char], np.append(first[1:], len(text))[char]
+        if hits := self._hits(raw):
+            parts, at = [], 0
+            for a, b, new in hits:
+                parts += [(text[at:a], begin[at:a], end[at:a]), (np.frombuffer(new, np.uint8), np.full(len(new), a), np.full(len(new), b))]
+                at = b
+            parts.append((text[at:], begin[at:], end[at:]))
+            text, begin, end = (np.concatenate(x) for x in zip(*parts))
         if self.squeeze:
-            squeezed: list[tuple[bytes, int, int]] = []
-            for text, a, b in parts:
-                before = squeezed[-1][0][-1:] if squeezed else b" "
-                while before == b" " and text.startswith(b" "):
-                    text = text[1:]
-                if text:
-                    squeezed.append((text, a, b))
-            while squeezed and squeezed[-1][0].endswith(b" "):
-                text, a, b = squeezed.pop()
-                if text.rstrip(b" "):
-                    squeezed.append((text.rstrip(b" "), a, b))
-            parts = squeezed
-        if self.prefix and parts:
-            parts.insert(0, (b" ", parts[0][1], parts[0][1]))
-        out = [(t.replace(b" ", self.mark), a, b) for t, a, b in parts]
-        n = [len(t) for t, _, _ in out]
-        return b"".join(t for t, _, _ in out), np.repeat([a for _, a, _ in out], n).astype(np.int64), np.repeat([b for _, _, b in out], n).astype(np.int64)
+            blank = text == 32
+            stays = ~(blank & np.concatenate([[True], blank[:-1]]))[: len(text)]
+            solid = np.flatnonzero(~blank)
+            stays[solid[-1] + 1 if len(solid) else 0 :] = False
+            text, begin, end = text[stays], begin[stays], end[stays]
+        if self.prefix and len(text):
+            text, begin, end = (np.concatenate([[x], y]).astype(y.dtype) for x, y in ((32, text), (begin[0], begin), (begin[0], end)))
+        if len(self.mark) > 1:
+            blank = text == 32
+            wide = np.where(blank, len(self.mark), 1)
+            text, begin, end, blank = (np.repeat(x, wide) for x in (text, begin, end, blank))
+            text = text.copy()
+            text[blank] = np.tile(np.frombuffer(self.mark, np.uint8), int(blank.sum()) // len(self.mark))
+        return text.tobytes(), begin.astype(np.int64), end.astype(np.int64)
 
     def _segments(self, normal: str) -> list[str]:
         mark = self.mark.decode()
@@ -192,22 +218,7 @@ class Pieces:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids, starts, ends, count by text): spans in bytes of each original text."""
-        texts = pc.fill_null(texts, "")
-        if self.plain():
-            odd = pc.match_substring_regex(texts, f"^ |  |{MARK}")  # runs of marks are one segment: the general way
-            if not pc.any(odd).as_py():
-                return self._encode_plain(texts)
-            odd = odd.to_numpy(zero_copy_only=False)
-            whole = [self._encode_plain(texts.filter(pa.array(~odd))), self._encode_general(texts.filter(pa.array(odd)))]
-            place = np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])
-            counts = np.concatenate([w[3] for w in whole])
-            first, order = np.cumsum(counts) - counts, np.argsort(place)
-            take = ragged(first[order], counts[order])
-            return *(np.concatenate([w[k] for w in whole])[take] for k in range(3)), counts[order]
-        return self._encode_general(texts)
-
-    def _encode_general(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        raws = texts.to_pylist()
+        raws = pc.fill_null(texts, "").to_pylist()
         normal = [self.normalise(r.encode()) for r in raws]
         segments = [self._segments(n.decode()) if n else [] for n, _, _ in normal]
         ids, per = self._ids_of(pa.array([s for x in segments for s in x], pa.string()))
@@ -225,41 +236,18 @@ class Pieces:
     def _sizes(self, ids: np.ndarray, normal: bytes) -> np.ndarray:
         """Bytes of the normalised text under each id. The unknown piece has those of a run that no piece covers."""
         size = self.size[ids]
-        for i in np.flatnonzero(np.array(self.kind)[ids] == UNKNOWN).tolist():
-            at = int(size[:i].sum())
-            if i + 1 == len(ids):
-                size[i] = len(normal) - at
-            else:
-                after = self.text[ids[i + 1]]
-                size[i] = normal.index(after, at + 1) - at
+        unknown = np.flatnonzero(np.array(self.kind)[ids] == UNKNOWN)
+        if not len(unknown):
+            return size
+        known = np.concatenate([[0], np.cumsum(size)])
+        more = 0  # what the unknown pieces so far are longer than the table says
+        for i in unknown.tolist():
+            at = int(known[i]) + more
+            stop = len(normal) if i + 1 == len(ids) else normal.index(self.text[ids[i + 1]], at + 1)
+            more += stop - at - int(size[i])
+            size[i] = stop - at
         return size
 
-    def _encode_plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The same where a mark replaces each space and stands in front: normalised byte positions follow from the marks alone."""
-        lists = pc.split_pattern(texts, " ")
-        number = np.where(pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), 0, pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-        segments = pc.list_flatten(lists.filter(pa.array(number > 0)))
-        ids, per = self._ids_of(segments, MARK)
-        at = np.concatenate([[0], np.cumsum(per)])
-        bounds = np.concatenate([[0], np.cumsum(number)])
-        counts = at[bounds[1:]] - at[bounds[:-1]]
-        # three bytes of a mark stand for one original byte; the mark in front stands for none
-        marks = self.marks[ids]
-        end_normal, end_marks = np.cumsum(self.size[ids]), np.cumsum(marks)
-        first = np.concatenate([[0], np.cumsum(counts)])
-        base_n = np.concatenate([[0], end_normal])[first[:-1]]
-        base_m = np.concatenate([[0], end_marks])[first[:-1]]
-        ends = (end_normal - np.repeat(base_n, counts)) - 2 * (end_marks - np.repeat(base_m, counts)) - 1
-        starts = np.concatenate([[0], ends[:-1]])
-        starts[first[:-1][counts > 0]] = 0
-        return ids, starts, ends, counts
-
-    @property
-    def marks(self) -> np.ndarray:
-        if not hasattr(self, "_marks"):
-            self._marks = np.array([t.count(self.mark) for t in self.text], np.int64)
-        return self._marks
-
     def decode(self, ids: list[int]) -> str:
         """As the library: the first piece that isn't a control loses the mark of the prefix; bytes that are no text become U+FFFD each."""
         parts = [self.out[i] for i in ids]
@@ -364,14 +352,15 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_tokens(docs: DataFrame, model: str | None = None, decoded: str | None = None) -> DataFrame:
-    """docs with ids, starts and ends of the pieces appended, and the text they decode to if decoded names a column for it."""
+    """docs with ids, starts and ends of the pieces appended, and the text they decode to if decoded names a column for it. A name that docs has already gets underscores in front."""
     path = model or default_model()
     names = docs.columns
     text = names.index("text")
-    more = [decoded] if decoded else []
-    taken = {"ids", "starts", "ends", *more} & set(names)
-    if taken:
-        raise ValueError(f"docs has columns named {sorted(taken)}")
+    added: list[str] = []
+    for name in ["ids", "starts", "ends", *([decoded] if decoded else [])]:
+        while name in names or name in added:
+            name = f"_{name}"
+        added.append(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(path)
@@ -382,8 +371,7 @@ def with_tokens(docs: DataFrame, model: str | None = None, decoded: str | None =
             if decoded:
                 lists, edge = ids.tolist(), bounds.to_pylist()
                 arrays.append(pa.array([pieces.decode(lists[a:b]) for a, b in zip(edge, edge[1:])], pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*names, "ids", "starts", "ends", *more])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*names, *added])
 
-    added = [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("ids", "starts", "ends")]
-    added += [T.StructField(c, T.StringType()) for c in more]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    fields = [T.StructField(c, T.ArrayType(T.IntegerType())) for c in added[:3]] + [T.StructField(c, T.StringType()) for c in added[3:]]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))

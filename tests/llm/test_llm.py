@@ -201,16 +201,14 @@ def test_pieces(docs):
 
     model = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
     own, texts = pieces.Pieces(pieces.default_model()), sample_texts()
-    for general in (False, True):
-        encode = own._encode_general if general else own.encode
-        ids, starts, ends, counts = encode(pa.array(texts))
-        at = 0
-        for t, n in zip(texts, counts):
-            mine = ids[at : at + n].tolist()
-            assert mine == model.encode(t) and own.decode(mine) == model.decode(mine)
-            if n:
-                assert starts[at] == 0 and ends[at + n - 1] == len(t.encode()) and (starts[at + 1 : at + n] == ends[at : at + n - 1]).all()
-            at += n
+    ids, starts, ends, counts = own.encode(pa.array(texts))
+    at = 0
+    for t, n in zip(texts, counts):
+        mine = ids[at : at + n].tolist()
+        assert mine == model.encode(t) and own.decode(mine) == model.decode(mine)
+        if n:
+            assert starts[at] == 0 and ends[at + n - 1] == len(t.encode()) and (starts[at + 1 : at + n] == ends[at : at + n - 1]).all()
+        at += n
     rng = random.Random(2)
     for _ in range(500):
         some = [rng.choice([0, 1, 2, rng.randrange(3, 259), rng.randrange(259, 32000)]) for _ in range(rng.randrange(6))]
@@ -223,34 +221,42 @@ def test_pieces(docs):
     assert pieces.with_tokens(docs).columns == [*docs.columns, "ids", "starts", "ends"]
 
 
-def test_the_pipeline_decodes_and_both_ways_of_encoding_agree(spark, docs):
+def test_the_pipeline_decodes(spark, docs):
     import corpus_pipeline
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
     got = corpus_pipeline.sentencepiece(spark, docs, "").collect()
     assert len(got) == docs.count() and all(r.decoded == model.decode(r.ids) == model.decode(model.encode(r.text or "")) for r in got)
-    own, texts = pieces.Pieces(pieces.default_model()), pa.array(sample_texts())
-    for mine, general in zip(own.encode(texts), own._encode_general(texts)):
-        assert mine.tolist() == general.tolist()
-
-
-def test_character_map():
-    import struct
-
-    # a trie for "a" -> "X" and "ab" -> "YZ": units are label, leaf flag at bit 8, offset from bit 10
-    units = [0] * 600
-    units[0] = 1 << 10
-    a = 1 ^ ord("a")
-    units[a] = ord("a") | 1 << 8 | 256 << 10
-    inner = a ^ 256
-    units[inner] = 1 << 31 | 0
-    b = inner ^ ord("b")
-    units[b] = ord("b") | 1 << 8 | 512 << 10
-    if b ^ 512 < len(units):
-        units[b ^ 512] = 1 << 31 | 2
-        m = pieces.CharMap(struct.pack("<I", 2400) + struct.pack("<600I", *units) + b"X\0YZ\0")
-        assert m.longest(b"abc", 0) == (b"YZ", 2) and m.longest(b"ac", 0) == (b"X", 1) and m.longest(b"c", 0) is None
+    clash = docs.withColumnsRenamed({"key": "ids", "row": "decoded"})
+    assert pieces.with_tokens(clash, decoded="decoded").columns == [*clash.columns, "_ids", "starts", "ends", "_decoded"]
+
+
+@pytest.mark.parametrize("squeeze", [True, False])
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nmt_nfkc_cf", "identity"])
+def test_character_map(rule, squeeze):
+    """The walk over a real compiled map, texts and byte spans, against the library's normaliser."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceNormalizer(rule_name=rule, add_dummy_prefix=True, escape_whitespaces=True, remove_extra_whitespaces=squeeze)
+    proto = library.serialized_model_proto()
+    own = pieces.Pieces.__new__(pieces.Pieces)
+    norm = next({f: v for f, _, v, _ in pieces._fields(value)} for number, _, value, _ in pieces._fields(proto) if number == 3)
+    own.prefix, own.squeeze, own.escape, own.user, own.mark, own.begins = True, squeeze, True, [], pieces.MARK.encode(), None
+    own.map = pieces.CharMap(norm.get(2, b""))
+    assert bool(own.map.units) == (rule != "identity")
+    rng = random.Random(4)
+    texts = ["", " ", "ﬁne ①②  ｱﾞ", "e\u0301 É\u200b Ⅷ", " a\u3000\u3000b ", "½ kg ㎏\tx\n"] + ["".join(rng.choice("aé ﬁ①ｱﾞe\u0301\u3000 Ⅷ½Ａ㎏\t🙂") for _ in range(rng.randrange(20))) for _ in range(300)]
+    for t in texts:
+        out, begin, end = own.normalise(t.encode())
+        assert out.decode() == library.normalize(t), t
+        assert len(begin) == len(end) == len(out) and (begin <= end).all() and (np.diff(begin) >= 0).all() and (end <= len(t.encode())).all()
+        raw = t.encode()
+        for a, b in zip(begin.tolist(), end.tolist()):
+            raw[a:b].decode()  # whole characters
+    if rule == "nmt_nfkc":
+        out, begin, end = own.normalise("xﬁy".encode())
+        assert out.decode() == "\u2581xfiy" and list(zip(begin, end))[3:] == [(0, 1), (1, 4), (1, 4), (4, 5)]
 
 
 def edits(a, b):
