@@ -3,14 +3,16 @@
 A window of WINDOW words that occurs twice has in both places the same least SHINGLE-word hash, its anchor. So suffixes
 are taken up only around anchors that occur twice in the corpus; the rest of the text can hold no deep node. Those
 suffixes are split by variable-length prefixes: by the anchor's words alone where few places share them, by as many
-further words as the window has where many do, so that each group fits in memory. In each group the suffixes are sorted,
-and the lengths of the prefixes that neighbours share give the subtree's internal nodes; those at least WINDOW words deep
-are the maximal repeats, and the places under them are marked.
+further words as the window has where many do, so that each group fits in memory. In each group the suffixes are brought
+into lexicographic order by doubling, and the lengths of the prefixes that neighbours share, counted word by word, give
+the subtree's internal nodes with their depths; the topmost ones at least WINDOW words deep are maximal repeats, and the
+places under them are marked.
 
 Words are compared by 64-bit hashes, a window by its 35 of them. Documents are handled in blocks of about BLOCK_BYTES, so
 that rows which agree are combined before any shuffle: a group with a third of all rows sends one row a block.
 
-Defined results: a null or empty text has no words; a text shorter than a window loses none; overlapping places within one
+Defined results: a null or empty text has no words; a row without a doc_id is handled like any other; an empty table gives
+no rows; a text shorter than a window loses none; overlapping places within one
 document count; repeated rows make their windows repeated; extra columns are ignored; very long texts are taken whole.
 """
 
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import chunks, documents, ragged
 
 WINDOW, SHINGLE = 35, 8
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: Places of one anchor beyond which the prefix is lengthened to the whole window.
 HOT = 20_000
 #: Rows a tree is built of at once, about.
@@ -178,25 +180,57 @@ def _suffixes(docs: pa.Table, again: pa.Table) -> pa.Table:
     return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()))})
 
 
-def deep_nodes(group: np.ndarray, codes: np.ndarray, starts: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Which of the suffixes that begin at starts lie under an internal node at least WINDOW words deep.
+def _ranks(codes: np.ndarray, row: np.ndarray) -> list[np.ndarray]:
+    """For 1, 2, 4, ... words from each place of codes, ranks that are equal where the words are and in their order; places of one row.
 
-    The suffixes are sorted by group and then by blocks of words; the depth at which neighbours part is the depth of the
-    internal node between them, and a node is deep where that is the whole window. A suffix of weight 2 stands for two.
+    A text that ends sooner comes before all that go on.
     """
-    gram = _grams(codes, SHINGLE)
-    steps = [*range(0, WINDOW - SHINGLE + 1, SHINGLE), WINDOW - SHINGLE]
-    keys = [gram[starts + s] for s in steps]
-    order = np.lexsort((*keys[::-1], group))
-    shared = group[order][1:] == group[order][:-1]
-    depth = np.zeros(len(order) + 1, np.int64)  # of the node between each suffix and the one before it
-    for s, key in zip(steps, keys):
-        shared = shared & (key[order][1:] == key[order][:-1])
-        depth[1:-1][shared] = s + SHINGLE
-    deep = (depth[:-1] >= WINDOW) | (depth[1:] >= WINDOW) | (weight[order] > 1)
-    out = np.zeros(len(order), bool)
-    out[order] = deep
-    return out
+    ends = np.searchsorted(row, row, side="right")
+    ranks = [np.unique(codes, return_inverse=True)[1].astype(np.int64)]
+    width, longest = 1, int(np.bincount(row).max(initial=0)) if len(row) else 0
+    place = np.arange(len(codes))
+    while width < longest:
+        last = ranks[-1]
+        after = np.where(place + width < ends, last[np.minimum(place + width, len(codes) - 1)] + 1, 0)
+        ranks.append(np.unique(last * (len(codes) + 1) + after, return_inverse=True)[1].astype(np.int64))
+        width *= 2
+    return ranks
+
+
+def subtree(group: np.ndarray, codes: np.ndarray, row: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, depth): the suffixes at starts by group and words, and for each the words that it shares with the one before it.
+
+    depth is the depth of the internal node between two neighbours, 0 at the beginning of a group. row: of each word.
+    """
+    ranks = _ranks(codes, row)
+    ends = np.searchsorted(row, row, side="right")
+    order = np.lexsort((ranks[-1][starts], group))
+    at, group = starts[order], group[order]
+    a, b = at[:-1].copy(), at[1:].copy()
+    room = np.minimum(ends[a] - a, ends[b] - b) if len(a) else a
+    depth = np.zeros(len(a), np.int64)
+    most = len(codes) - 1
+    for k in range(len(ranks) - 1, -1, -1):
+        fits = depth + (1 << k) <= room
+        same = fits & (ranks[k][np.minimum(a + depth, most)] == ranks[k][np.minimum(b + depth, most)])
+        depth[same] += 1 << k
+    # a rank of a text's end may stand for fewer words than its width: what is left is counted one by one
+    while len(depth):
+        more = (depth < room) & (ranks[0][np.minimum(a + depth, most)] == ranks[0][np.minimum(b + depth, most)])
+        if not more.any():
+            break
+        depth[more] += 1
+    depth[group[1:] != group[:-1]] = 0
+    return order, np.concatenate([[0], depth])
+
+
+def deep_nodes(order: np.ndarray, depth: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last, depth) of the topmost internal nodes at least window words deep: ranges of order, and the words of their repeats."""
+    deep = depth >= window
+    begin = np.flatnonzero(deep & ~np.concatenate([[False], deep[:-1]]))
+    stop = np.flatnonzero(deep & ~np.concatenate([deep[1:], [False]]))
+    least = np.minimum.reduceat(np.where(deep, depth, np.iinfo(np.int64).max), begin) if len(begin) else begin
+    return begin - 1, stop, least
 
 
 _MARKS = "block long, doc int, start int, stop int"
@@ -218,8 +252,10 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = np.repeat(np.arange(len(number)), number)
         inner = ragged(np.zeros(len(number), np.int64), number)
         starts = (np.cumsum(size) - size)[row] + inner
-        weight = np.where(table.column("multi").to_numpy(zero_copy_only=False), 2, 1)
-        deep = deep_nodes(table.column("prefix").to_numpy()[row], codes, starts, weight[row])
+        order, depth = subtree(table.column("prefix").to_numpy()[row], codes, np.repeat(np.arange(len(size)), size), starts)
+        first, last, _ = deep_nodes(order, depth)
+        deep = table.column("multi").to_numpy(zero_copy_only=False)[row]  # a text that one block has twice
+        deep[order[ragged(first, last - first + 1)]] = True
         at = np.flatnonzero(deep)
         gap = np.ones(len(at), bool)
         gap[1:] = (np.diff(at) != 1) | (row[at[1:]] != row[at[:-1]])

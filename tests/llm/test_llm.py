@@ -315,6 +315,28 @@ def removed(texts, window):
     return out
 
 
+def test_subtrees_have_exact_depths():
+    rng = np.random.default_rng(3)
+    size = rng.integers(1, 60, 40)
+    row = np.repeat(np.arange(40), size)
+    codes = rng.integers(0, 2, len(row)).astype(np.uint64)
+    codes[row == 5] = codes[row == 9][0]
+    group = rng.integers(0, 3, len(row))
+    starts = np.arange(len(row))
+    words = [tuple(codes[i : np.searchsorted(row, row[i], side="right")].tolist()) for i in starts]
+    order, depth = suffixes.subtree(group, codes, row, starts)
+    listed = [(group[i], words[i]) for i in order]
+    assert listed == sorted(listed) and sorted(order.tolist()) == starts.tolist()
+    for k in range(1, len(order)):
+        (g, a), (h, b) = listed[k - 1], listed[k]
+        common = next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert depth[k] == (common if g == h else 0)
+    first, last, least = suffixes.deep_nodes(order, depth, 8)
+    under = {i for a, b in zip(first, last) for i in order[a : b + 1].tolist()}
+    again = Counter((group[i], w[:8]) for i, w in enumerate(words) if len(w) >= 8)
+    assert under == {i for i, w in enumerate(words) if len(w) >= 8 and again[group[i], w[:8]] > 1} and (least >= 8).all()
+
+
 @pytest.mark.parametrize("hot", [20_000, 1])
 def test_substrings(spark, docs, monkeypatch, hot):
     monkeypatch.setattr(suffixes, "HOT", hot)
