@@ -218,20 +218,32 @@ class Pieces:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids, starts, ends, count by text): spans in bytes of each original text."""
-        raws = pc.fill_null(texts, "").to_pylist()
-        normal = [self.normalise(r.encode()) for r in raws]
-        segments = [self._segments(n.decode()) if n else [] for n, _, _ in normal]
-        ids, per = self._ids_of(pa.array([s for x in segments for s in x], pa.string()))
-        bounds = np.concatenate([[0], np.cumsum([len(x) for x in segments])])
-        at = np.concatenate([[0], np.cumsum(per)])
+        normal = [self.normalise(r.encode()) for r in pc.fill_null(texts, "").to_pylist()]
+        mark = self.mark
+        odd = np.array([len(n) > 0 and (not self.splits or not n.startswith(mark) or mark + mark in n) for n, _, _ in normal], bool)
+        # each text is cut before its marks, all texts at once; what stands before the first mark is nothing
+        lists = pc.split_pattern(pa.array([b"" if o else n for o, (n, _, _) in zip(odd, normal)], pa.binary()).cast(pa.string()), mark.decode())
+        number = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        inner = np.ones(int(number.sum()), bool)
+        inner[np.cumsum(number) - number] = False
+        ids, per = self._ids_of(pc.list_flatten(lists).filter(pa.array(inner)), mark.decode())
+        at, bounds = np.concatenate([[0], np.cumsum(per)]), np.concatenate([[0], np.cumsum(number - 1)])
         counts = at[bounds[1:]] - at[bounds[:-1]]
-        starts, ends = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-        for k, (n, a, b) in enumerate(normal):
-            lo, hi = at[bounds[k]], at[bounds[k + 1]]
-            to = np.cumsum(self._sizes(ids[lo:hi], n))
-            if len(to):
-                starts[lo:hi], ends[lo:hi] = a[np.concatenate([[0], to[:-1]])], b[to - 1]
-        return ids, starts, ends, counts
+        if odd.any():  # runs of marks are one segment
+            segments = [self._segments(n.decode()) for o, (n, _, _) in zip(odd, normal) if o]
+            more, per = self._ids_of(pa.array([x for each in segments for x in each], pa.string()))
+            at, bounds = np.concatenate([[0], np.cumsum(per)]), np.concatenate([[0], np.cumsum([len(x) for x in segments])])
+            first = np.cumsum(counts) - counts
+            first[odd] = len(ids) + at[bounds[:-1]]
+            counts[odd] = at[bounds[1:]] - at[bounds[:-1]]
+            ids = np.concatenate([ids, more])[ragged(first, counts)]
+        size = self.size[ids]
+        if (np.array(self.kind)[ids] == UNKNOWN).any():
+            edge = np.concatenate([[0], np.cumsum(counts)]).tolist()
+            size = np.concatenate([self._sizes(ids[i:j], n) for i, j, (n, _, _) in zip(edge, edge[1:], normal)])
+        to = np.cumsum(size)
+        begin, end = (np.concatenate([x[k] for x in normal] or [np.zeros(0, np.int64)]) for k in (1, 2))
+        return ids, begin[to - size], end[to - 1], counts
 
     def _sizes(self, ids: np.ndarray, normal: bytes) -> np.ndarray:
         """Bytes of the normalised text under each id. The unknown piece has those of a run that no piece covers."""
