@@ -33,6 +33,8 @@ from .common import chunks, documents, ragged
 MARK = "▁"
 #: Bytes of text encoded at once.
 CHUNK = 6 << 20
+#: The same where whole rows, spans and decoded texts go along: a worker holds about 100 times as much beside its batch.
+CHUNK_OF_ROWS = 1 << 20
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -376,7 +378,7 @@ def with_tokens(docs: DataFrame, model: str | None = None, decoded: str | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(path)
-        for batch in chunks(batches, "text", CHUNK):
+        for batch in chunks(batches, "text", CHUNK_OF_ROWS):
             ids, starts, ends, counts = pieces.encode(batch.column(text))
             bounds = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
             arrays = [pa.ListArray.from_arrays(bounds, pa.array(x.astype(np.int32))) for x in (ids, starts, ends)]

@@ -11,6 +11,7 @@ import pyarrow.compute  # noqa: F401
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brindle.llm import common, covertree, exact, lines, mixing, pieces, scoring, secrets, simhash, suffixes, toxicity
 
@@ -232,6 +233,28 @@ def test_the_pipeline_decodes(spark, docs):
     assert pieces.with_tokens(clash, decoded="decoded").columns == [*clash.columns, "_ids", "starts", "ends", "_decoded"]
 
 
+def test_the_pipeline_encodes_little_at_once(spark):
+    """What a worker holds beside its batch: whole rows, spans and decoded texts need more room than digests."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(20_000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(600)), "text": [" ".join(rng.choices(words, k=1500)) for _ in range(600)]})
+    fake = SimpleNamespace(columns=["doc_id", "text"], schema=T.StructType.fromDDL("doc_id long, text string"), mapInArrow=lambda run, schema: run)
+    run = pieces.with_tokens(fake, decoded="decoded")
+    want = pieces.loaded(pieces.default_model()).encode(batch.column("text"))
+    tracemalloc.start()
+    rows = 0
+    for out in run(iter([batch])):
+        rows += out.num_rows
+        assert out.column("text").equals(batch.column("text").slice(rows - out.num_rows, out.num_rows))
+        assert out.column("ids").flatten().to_numpy().tolist() == want[0][want[3][: rows - out.num_rows].sum() : want[3][:rows].sum()].tolist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 600 and batch.nbytes > 5e6 and peak < 150e6
+
+
 @pytest.mark.parametrize("squeeze", [True, False])
 @pytest.mark.parametrize("rule", ["nmt_nfkc", "nmt_nfkc_cf", "identity"])
 def test_character_map(rule, squeeze):
