@@ -9,7 +9,8 @@ fingerprints are one class; extra columns are ignored; a repeated row counts onc
 doc_id has a fingerprint, and its component is the smallest id that is not null (null if there is none).
 
 The pipeline's near_dedup stage (drop_near_copies) has settings of its own: near copies are texts whose sets of five-word
-shingles have a Jaccard similarity of 0.8 or more.
+shingles have a Jaccard similarity of 0.8 or more. Two such sets of n shingles share one of the first n // 5 + 1 of each in
+any order that holds for all sets, so only sets that do are compared: no pair is lost, and unrelated texts don't meet.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from itertools import accumulate, product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,10 @@ TILE = 1024
 #: The pipeline's stage: words of a shingle, least Jaccard similarity (4/5 in the code), bits of 128 that candidates may
 #: differ in, and sets in a tile. At 0.8 the bits differ in 19 +- 4 places, those of unrelated texts in 64 +- 6.
 NEAR_WIDTH, NEAR_SHARE, NEAR_RADIUS, NEAR_TILE = 5, 0.8, 40, 4096
+#: Sets that share a shingle are paired at once up to so many, more are compared in tiles; entries of a bucket, about.
+NEAR_FEW, NEAR_BUCKET = 16, 1 << 20
+#: Rows among which frequent shingles are looked for, about, and how many are told to all tasks. They only order shingles.
+NEAR_SAMPLE, NEAR_COMMON = 4000, 1 << 17
 
 
 def shingle_hashes(text: bytes, width: int) -> list[int]:
@@ -125,23 +131,51 @@ def shingles(text: bytes, width: int = NEAR_WIDTH) -> set[bytes]:
     return {b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)}
 
 
-def wide_fingerprints(docs: DataFrame) -> DataFrame:
-    """(id, file, pos, digest, n, lo, hi) of (id, file, pos, text): digest and size of the set of shingles, and a SimHash of 128 bits of its distinct members."""
+def wide_shingles(text: str | None) -> np.ndarray:
+    """The distinct 128-bit hashes of a text's shingles, in order, as pairs of 64 bits."""
+    h, words = xxhash.xxh3_128_digest, (text or "").encode().lower().split()
+    joined = b" ".join(words)
+    ends = list(accumulate((len(w) + 1 for w in words)))
+    raw = b"".join([h(joined[a : b - 1]) for a, b in zip([0, *ends], ends[NEAR_WIDTH - 1 :] or ends[-1:])])
+    two = np.frombuffer(raw, np.uint64).reshape(-1, 2)
+    two = two[np.lexsort((two[:, 1], two[:, 0]))]
+    return two[np.concatenate([[True], (two[1:] != two[:-1]).any(axis=1)])] if len(two) else two
+
+
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several rows of a sample have, by the first half of their hashes, and in how many rows."""
+    share = int(min(1.0, NEAR_SAMPLE / max(1, docs.count())) * (1 << 30))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text", 1 << 20):
+            found = [wide_shingles(t)[:, 0] for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["h"])
+
+    sample = docs.where(F.pmod(F.xxhash64("file", "pos"), F.lit(1 << 30)) <= share).select("text").mapInArrow(run, "h long")
+    often = sample.groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(NEAR_COMMON).collect()
+    h, n = np.array([r["h"] for r in often], np.int64).view(np.uint64), np.array([r["count"] for r in often], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def wide_fingerprints(docs: DataFrame, common: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """(id, file, pos, digest, n, lo, hi, prefix) of (id, file, pos, text): digest and size of the set of shingles, a SimHash
+    of 128 bits of its distinct members, and the hashes of its first n // 5 + 1 members, those in common last."""
+    shared = docs.sparkSession.sparkContext.broadcast(common or (np.zeros(0, np.uint64), np.zeros(0, np.int64)))  # NEAR_COMMON at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = xxhash.xxh3_128_digest
+        often, times = shared.value
         for batch in chunks(batches, "text", 1 << 20):
-            digests, sizes, fps = [], [], np.zeros((batch.num_rows, 2), np.uint64)
+            digests, sizes, prefixes, fps = [], [], [], np.zeros((batch.num_rows, 2), np.uint64)
             for i, t in enumerate(batch.column("text").to_pylist()):
-                words = (t or "").encode().lower().split()
-                joined = b" ".join(words)
-                ends = list(accumulate((len(w) + 1 for w in words)))
-                raw = b"".join([h(joined[a : b - 1]) for a, b in zip([0, *ends], ends[NEAR_WIDTH - 1 :] or ends[-1:])])
-                two = np.frombuffer(raw, np.uint64).reshape(-1, 2)
-                two = two[np.lexsort((two[:, 1], two[:, 0]))]
-                two = two[np.concatenate([[True], (two[1:] != two[:-1]).any(axis=1)])] if len(two) else two
+                two = wide_shingles(t)
                 digests.append(hashlib.blake2b(two.tobytes(), digest_size=16).digest())
                 sizes.append(len(two))
+                first = two[:, 0]
+                if len(often):
+                    at = np.minimum(np.searchsorted(often, first), len(often) - 1)
+                    first = first[np.argsort(np.where(often[at] == first, times[at], 0), kind="stable")]
+                prefixes.append(first[: len(two) // 5 + 1].tobytes())
                 if len(two):
                     ones = np.zeros(128, np.int64)
                     for k in range(0, len(two), 4096):
@@ -149,31 +183,82 @@ def wide_fingerprints(docs: DataFrame) -> DataFrame:
                     fps[i] = np.packbits(2 * ones > len(two)).view(np.uint64)
             lo, hi = (pa.array(np.ascontiguousarray(fps[:, k]).view(np.int64)) for k in (0, 1))
             names = ["id", "file", "pos"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), lo, hi], [*names, "digest", "n", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), lo, hi, pa.array(prefixes, pa.binary())], [*names, "digest", "n", "lo", "hi", "prefix"])
 
-    return docs.select("id", "file", "pos", "text").mapInArrow(run, "id long, file long, pos long, digest binary, n long, lo long, hi long")
+    return docs.select("id", "file", "pos", "text").mapInArrow(run, "id long, file long, pos long, digest binary, n long, lo long, hi long, prefix binary")
 
 
-def near_candidates(sets: DataFrame, radius: int = NEAR_RADIUS, tile: int = NEAR_TILE) -> DataFrame:
-    """(a, b) for all pairs of sets (node, n, lo, hi) that differ in radius of 128 bits at most and whose sizes allow NEAR_SHARE.
+def sharing(sets: DataFrame, few: int = NEAR_FEW, size: int = NEAR_BUCKET) -> DataFrame:
+    """(a, b, many) of sets (node, prefix): the pairs of nodes that share a hash in their prefixes, some repeatedly; where
+    more than few nodes share one, it has a row for each of them instead: a names the hash, b is the node, and many holds.
 
-    Sizes a factor of 1.25 apart at most lie in the same step of the logarithm or in neighbouring ones, so only tiles of
-    such steps meet. Inside, every pair is compared.
+    Hashes are cut to 32 bits and the bucket's number, which lets a few more sets meet. They travel packed: a row holds
+    the entries of many sets that fall into a bucket.
     """
-    keyed = sets.where("n > 0").withColumn("step", F.floor(F.log("n") / F.lit(math.log(1.2501))).cast("int"))
-    sizes = {r["step"]: r["n"] for r in keyed.groupBy("step").agg(F.ceil(F.count("*") / tile).cast("int").alias("n")).collect()}  # one row a step
-    if not sizes:
-        return sets.sparkSession.createDataFrame([], "a long, b long")
-    number = F.create_map(*(F.lit(x) for kv in sizes.items() for x in kv))
-    tiles = keyed.withColumn("chunk", F.pmod(F.xxhash64("node"), F.element_at(number, F.col("step"))).cast("int"))
-    tiles = tiles.groupBy("step", "chunk").agg(F.collect_list("node").alias("node"), *(F.collect_list(c).alias(c) for c in ("n", "lo", "hi"))).checkpoint()
-    here = F.transform(F.sequence("chunk", F.element_at(number, F.col("step")) - 1), lambda c: F.struct(F.col("step").alias("step"), c.alias("chunk")))
-    above = F.coalesce(F.try_element_at(number, F.col("step") + 1), F.lit(0))
-    there = F.when(above > 0, F.transform(F.sequence(F.lit(0), above - 1), lambda c: F.struct((F.col("step") + 1).alias("step"), c.alias("chunk")))).otherwise(F.slice(here, 1, 0))
+    entries = sets.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
+    buckets = max(1, entries // 8 // size)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "prefix"):
+            raw = batch.column("prefix")
+            h = np.frombuffer(b"".join(raw.to_pylist()), np.uint64)
+            node = np.repeat(batch.column("node").to_numpy(), pc.binary_length(raw).to_numpy() // 8)
+            bucket = (h >> np.uint64(32)) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            numbers, cuts = np.unique(bucket[order], return_index=True)
+            keys, nodes = h[order].astype(np.uint32), node[order]
+            ends = [*cuts[1:].tolist(), len(keys)]
+            # the nodes byte by byte, as their high bytes are much alike
+            packed = [(keys[a:b].tobytes(), nodes[a:b].view(np.uint8).reshape(-1, 8).T.tobytes()) for a, b in zip(cuts.tolist(), ends)]
+            yield pa.RecordBatch.from_arrays([pa.array(numbers.astype(np.int64)), *(pa.array(c, pa.binary()) for c in zip(*packed))] if packed else [pa.array([], pa.int64()), pa.array([], pa.binary()), pa.array([], pa.binary())], ["bucket", "keys", "nodes"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint32)
+        nodes = np.concatenate([np.frombuffer(r, np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel() for r in table.column("nodes").to_pylist()])
+        order = np.argsort(keys, kind="stable")
+        keys, nodes = keys[order], nodes[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        number = np.diff(np.append(first, len(keys)))
+        of = np.repeat(number, number)
+        x, y = keys[of > few], nodes[of > few]
+        name = (np.int64(table.column("bucket")[0].as_py()) << 32) + x.astype(np.int64)
+        keys, nodes = keys[(of > 1) & (of <= few)], nodes[(of > 1) & (of <= few)]
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for d in range(1, few):
+            same = keys[d:] == keys[:-d]
+            a.append(np.minimum(nodes[d:], nodes[:-d])[same])
+            b.append(np.maximum(nodes[d:], nodes[:-d])[same])
+        a, b = np.concatenate(a), np.concatenate(b)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        once = (a != b) & np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
+        a, b = a[once], b[once]
+        return pa.table({"a": np.concatenate([a, name]), "b": np.concatenate([b, y]), "many": np.concatenate([np.zeros(len(a), bool), np.ones(len(y), bool)])})
+
+    return sets.select("node", "prefix").mapInArrow(split, "bucket long, keys binary, nodes binary").groupBy("bucket").applyInArrow(meet, "a long, b long, many boolean")
+
+
+def near_candidates(sets: DataFrame, radius: int = NEAR_RADIUS, tile: int = NEAR_TILE, few: int = NEAR_FEW) -> DataFrame:
+    """(a, b) for all pairs of sets (node, n, lo, hi, prefix) that share a hash in their prefixes, differ in radius of 128
+    bits at most and whose sizes allow NEAR_SHARE."""
     names = ("node", "n", "lo", "hi")
-    left = tiles.select(F.col("step").alias("s1"), F.col("chunk").alias("c1"), *(F.col(c).alias(f"{c}1") for c in names), F.explode(F.concat(here, there)).alias("o"))
-    left = left.select("s1", "c1", *(f"{c}1" for c in names), "o.step", "o.chunk")
-    same = ((F.col("s1") == F.col("step")) & (F.col("c1") == F.col("chunk"))).alias("same")
+    slim = sets.select(*names)
+    met = sharing(sets, few).checkpoint()
+
+    def side(k: str) -> DataFrame:
+        return slim.select(*(F.col(c).alias(k if c == "node" else c + k) for c in names))
+
+    apart = F.bit_count(F.col("loa").bitwiseXOR(F.col("lob"))) + F.bit_count(F.col("hia").bitwiseXOR(F.col("hib")))
+    pairs = met.where("not many").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
+    pairs = pairs.where((apart <= radius) & (F.least("na", "nb") * 5 >= F.greatest("na", "nb") * 4)).select("a", "b")
+
+    # many sets that share a hash: tiles of them meet, and inside, every pair is compared
+    keyed = met.where("many").select(F.col("a").alias("key"), F.col("b").alias("node")).distinct()
+    sizes = keyed.groupBy("key").agg(F.ceil(F.count("*") / tile).cast("int").alias("number"))
+    tiles = keyed.join(sizes, "key").join(slim, "node").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("number")).cast("int"))
+    tiles = tiles.groupBy("key", "chunk").agg(F.first("number").alias("number"), *(F.collect_list(c).alias(c) for c in names)).checkpoint()
+    left = tiles.select("key", F.col("chunk").alias("c1"), *(F.col(c).alias(f"{c}1") for c in names), F.explode(F.sequence("chunk", F.col("number") - 1)).alias("chunk"))
+    right = tiles.select("key", "chunk", *names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,9 +274,12 @@ def near_candidates(sets: DataFrame, radius: int = NEAR_RADIUS, tile: int = NEAR
                     if once:
                         good &= a + i < b
                     if good.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(node[a[good], 0]), pa.array(y[0][b[good]])], ["a", "b"])
+                        p, q = node[a[good], 0], y[0][b[good]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
 
-    return left.join(tiles, ["step", "chunk"]).select(*(c + k for k in ("1", "") for c in names), same).mapInArrow(run, "a long, b long")
+    same = (F.col("c1") == F.col("chunk")).alias("same")
+    more = left.join(right, ["key", "chunk"]).select(*(c + k for k in ("1", "") for c in names), same).mapInArrow(run, "a long, b long")
+    return pairs.union(more).distinct()
 
 
 def near_links(texts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -218,17 +306,17 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     """docs with one row of each component of near copies: the smallest doc_id's, nulls last, and of rows that share it one by its place.
 
     Near copies share NEAR_SHARE of their sets of five-word shingles; a text of five words or fewer is one shingle, and
-    texts without words are equal. A 128-bit SimHash of the sets proposes pairs, which exact Jaccard similarity then
-    decides. Rows are told apart by their places, so rows that share an id are judged each by its own text.
+    texts without words are equal. A 128-bit SimHash of the sets proposes pairs among those that share a shingle of their
+    prefixes, which exact Jaccard similarity then decides. Rows are told apart by their places, so rows that share an id are judged each by its own text.
     """
     shared_dir(docs.sparkSession)
     rows, file, pos = located(docs)
     texts = rows.select(F.col("doc_id").cast("long").alias("id"), F.col(file).alias("file"), F.col(pos).alias("pos"), "text")
-    marks = wide_fingerprints(texts).checkpoint()
+    marks = wide_fingerprints(texts, common_shingles(texts)).withColumn("row", F.monotonically_increasing_id()).checkpoint()  # numbers are fixed here
     best = F.struct(F.col("id").isNull().alias("unnamed"), "id", "file", "pos")
-    sets = marks.groupBy("digest").agg(F.min(best).alias("best"), *(F.first(c).alias(c) for c in ("n", "lo", "hi")))
-    sets = sets.withColumn("node", F.monotonically_increasing_id()).checkpoint()  # numbers are fixed here
+    sets = marks.groupBy("digest").agg(F.min(best).alias("best"), F.min("row").alias("node"), *(F.first(c).alias(c) for c in ("n", "lo", "hi", "prefix")))
     pairs = near_candidates(sets).checkpoint()
+    sets = sets.select("digest", "best", "node").checkpoint()
     met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(sets.select("node", "best.file", "best.pos"), "node")
     links = near_links(texts.join(met, ["file", "pos"]).select("node", "text").checkpoint(), pairs)
     comp = connected_components(links)

@@ -174,6 +174,26 @@ def test_near_copies_of_the_pipeline(spark, monkeypatch):
     assert simhash.near_candidates(sets, tile=7).count() == simhash.near_candidates(sets).count()
 
 
+def test_only_sets_that_share_a_shingle_of_their_prefixes_meet(spark):
+    """Of unrelated texts of like size no pairs are compared, and no near pair is lost, with or without knowledge of frequent shingles."""
+    rng = random.Random(3)
+    words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    legal = words(30)
+    texts = [" ".join(words(rng.randrange(95, 105)) + legal * (k % 2)) for k in range(300)]
+    texts += [" ".join(t.split()[:50] + ["x"] * (k % 4) + t.split()[50:]) for k, t in enumerate(texts[:40])]
+    texts += [" ".join([*words(2), *legal]) for _ in range(40)] + ["", None]
+    sets = [simhash.shingles((t or "").encode()) for t in texts]
+    near = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if sets[i] and sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").selectExpr("id", "0L file", "id pos", "text").checkpoint()
+    common = simhash.common_shingles(df)
+    assert len(common[0]) >= 26 and common[1].max() >= 190
+    for often in (None, common):
+        found = simhash.wide_fingerprints(df, often).withColumnRenamed("id", "node").checkpoint()
+        got = [{tuple(r) for r in simhash.near_candidates(found, radius=128, **more).collect()} for more in ({}, {"few": 3, "tile": 7}, {"few": 1000})]
+        assert got[0] == got[1] == got[2] and near <= got[0] and len(near) > 700
+    assert len(got[0]) < 3000 < len(texts) ** 2 // 20
+
+
 def test_mixing(spark, docs):
     assert mixing.poisson_steps(0.0) == (0, []) and mixing.poisson_steps(700.0)[1][-1] == pytest.approx(1)
     least, steps = mixing.poisson_steps(1e6)
