@@ -11,8 +11,9 @@ them), interpolated with the word's share among the training words of that first
 how many tokens are new words.
 
 How the work is laid out: documents are handled in blocks of neighbouring rows of a file; where its text lies, a block's
-distinct words are counted, and these alone travel for the corpus counts and pieces. Then text and words of each block
-meet in one task, which scores it: texts cross the network once. Rows that repeat lie in as many blocks as they fill.
+distinct words are counted, and these alone travel for the corpus counts and pieces, packed by block and by buckets of
+words, each of which one task counts and cuts. Then text and words of each block meet in one task, which scores it: texts
+cross the network once. Rows that repeat lie in as many blocks as they fill.
 
 The attention weights start from a fit on the driver (about SAMPLE_CHARS of training documents, by hash), only so that all
 tasks start alike. Then each partition of the training documents goes on from there over all its windows, once, and the
@@ -35,6 +36,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,11 +48,15 @@ WINDOW, STRIDE, WIDTH, CLASSES = 24, 16, 16, 112
 #: Classes of several pieces, for those that begin a word and for those that don't; and classes of one piece inside words.
 SHARED, INNER = 12, 16
 SAMPLE_CHARS, STEPS, BATCH = 1_500_000, 500, 256
-BLOCK_BYTES = 6 << 20
+#: Bytes of text of a block, and for each bucket of words, about; what a bucket's summary counts beside pieces.
+BLOCK_BYTES, BUCKET_BYTES = 6 << 20, 16 << 20
+ALL, KINDS, ONCE = -1, -2, -3
 #: The pass over all training documents: its rate; bytes of text a partition holds, about, and partitions merged at once.
 RATE, MERGED, FAN = 0.005, 16 << 20, 8
 BY_PIECE, DENSE = ("query", "key", "value", "rest"), ("bias", "out", "out_bias")
 TINY = 1e-30
+#: Positions whose classes are handled at once, so that their probabilities stay in a core's cache.
+SLICE = 512
 
 
 def default_model() -> str:
@@ -90,32 +96,56 @@ def initial(n_pieces: int, kind: np.ndarray, share: np.ndarray, seed: int = 0) -
     return Attention(table(0.3), table(0.3), table(0.1), table(0.1), (-0.3 * np.arange(WINDOW)).astype(np.float32), (rng.normal(size=(WIDTH, CLASSES)) * 0.1).astype(np.float32), np.log(share + 1e-6).astype(np.float32), kind)
 
 
-def forward(m: Attention, ids: np.ndarray, first: int) -> tuple[np.ndarray, ...]:
-    """ids: (batch, length) inputs. Class log-probabilities after each position from first on, and what the gradient needs."""
-    n = ids.shape[1]
-    q, k, v = m.query[ids[:, first:]], m.key[ids], m.value[ids]
-    gap = np.arange(first, n)[:, None] - np.arange(n)[None, :]
+class Adam:
+    """Moments of the gradients of a model, and how many steps were taken. The model's tables by piece become parts of one table, so that a piece's rows lie together."""
+
+    def __init__(self, m: Attention):
+        self.step = 0
+        self.table = np.concatenate([getattr(m, c) for c in BY_PIECE], axis=1)
+        for n, c in enumerate(BY_PIECE):
+            setattr(m, c, self.table[:, n * WIDTH : (n + 1) * WIDTH])
+        self.first = {c: np.zeros_like(getattr(m, c)) for c in DENSE} | {"table": np.zeros_like(self.table)}
+        self.second = {c: np.zeros_like(getattr(m, c)) for c in DENSE} | {"table": np.zeros_like(self.table)}
+
+
+def attended(m: Attention, q: np.ndarray, k: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Attention weights and what they gather, for windows of queries, keys and values; and the distances."""
+    n = q.shape[1]
+    gap = np.arange(n)[:, None] - np.arange(n)[None, :]
     mask = np.where(gap >= 0, m.bias[np.clip(gap, 0, WINDOW - 1)], np.float32(-1e9)).astype(np.float32)
     a = np.matmul(q, k.transpose(0, 2, 1))
     a *= np.float32(WIDTH**-0.5)
     a += mask
-    np.clip(a, -60, 60, out=a) if first == 0 else None
+    np.clip(a, -60, 60, out=a)
     np.exp(a, out=a)
-    a *= gap >= 0
-    a /= a.sum(axis=2, keepdims=True)
-    h = np.matmul(a, v) + m.rest[ids[:, first:]]
-    logits = h.reshape(-1, WIDTH) @ m.out
-    logits += m.out_bias
-    return logits, h, a, q, k, v, gap
+    a *= (gap >= 0).astype(np.float32)
+    a /= (a.reshape(-1, n) @ np.ones(n, np.float32)).reshape(*a.shape[:2], 1)
+    return a, np.matmul(a, v), gap
 
 
-class Adam:
-    """Moments of the gradients of a model, and how many steps were taken."""
+def output_gradient(m: Attention, h: np.ndarray, target: np.ndarray, dh: np.ndarray) -> dict[str, np.ndarray]:
+    """The gradients of the mean cross entropy of the classes in target: of out and out_bias, and in dh that of h, which ends in a column of ones.
 
-    def __init__(self, m: Attention):
-        self.step = 0
-        self.first = {c: np.zeros_like(getattr(m, c)) for c in (*BY_PIECE, *DENSE)}
-        self.second = {c: np.zeros_like(getattr(m, c)) for c in (*BY_PIECE, *DENSE)}
+    Rows are taken SLICE at a time, as much as a core's cache holds, and never normalised: their sums go into h and dh.
+    """
+    rows = len(target)
+    out = np.concatenate([m.out, m.out_bias[None]])
+    back = np.concatenate([m.out, np.ones((1, CLASSES), np.float32)]).T.copy()  # the last column sums
+    risky = np.sqrt((h**2).sum(axis=1).max() * (out**2).sum(axis=0).max()) > 80
+    grad, buffer, at = np.zeros_like(out), np.empty((min(rows, SLICE), CLASSES), np.float32), np.arange(SLICE)
+    for i in range(0, rows, SLICE):
+        own, p = h[i : i + SLICE], buffer[: rows - i]
+        np.matmul(own, out, out=p)
+        if risky:
+            np.minimum(p, np.float32(80), out=p)
+        np.exp(p, out=p)
+        through = p @ back
+        p[at[: len(p)], target[i : i + SLICE]] -= through[:, -1]
+        share = np.float32(1 / rows) / through[:, -1:]
+        np.multiply(through[:, :-1], share, out=dh[i : i + SLICE])
+        grad += (own * share).T @ p
+    dh -= np.float32(1 / rows) * m.out.T.take(target, axis=0)
+    return {"out": grad[:-1], "out_bias": grad[-1]}
 
 
 def learn(m: Attention, adam: Adam, window: np.ndarray, lr: float) -> None:
@@ -123,38 +153,61 @@ def learn(m: Attention, adam: Adam, window: np.ndarray, lr: float) -> None:
     adam.step += 1
     step, first, second = adam.step, adam.first, adam.second
     ids, target = window[:, :-1], m.kind[window[:, 1:]].ravel()
-    p, h, a, q, k, v, gap = forward(m, ids, 0)
-    np.minimum(p, np.float32(80), out=p)
-    np.exp(p, out=p)
-    p /= p @ np.ones((CLASSES, 1), np.float32)
-    p[np.arange(len(target)), target] -= 1
-    p *= np.float32(1 / len(target))
-    grad = {"out": h.reshape(-1, WIDTH).T @ p, "out_bias": np.ones(len(p), np.float32) @ p}
-    dh = (p @ m.out.T).reshape(h.shape)
+    rows = adam.table.take(ids, axis=0)
+    q, k, v, rest = (rows[:, :, n * WIDTH : (n + 1) * WIDTH] for n in range(len(BY_PIECE)))
+    a, h, gap = attended(m, q, k, v)
+    held = np.ones((*ids.shape, WIDTH + 1), np.float32)
+    np.add(h, rest, out=held[:, :, :WIDTH])
+    every = np.empty_like(rows)
+    dh = np.empty((target.size, WIDTH), np.float32)
+    grad = output_gradient(m, held.reshape(-1, WIDTH + 1), target, dh)
+    dh = dh.reshape(h.shape)
     da = np.matmul(dh, v.transpose(0, 2, 1))
-    da -= np.einsum("bij,bij->bi", da, a)[:, :, None]
+    da -= np.einsum("bij,bij->bi", dh, h)[:, :, None]  # the mean of da under a, whose weights gather h
     da *= a
     flat = np.zeros(WINDOW, np.float32)
     np.add.at(flat, np.clip(gap, 0, WINDOW - 1).ravel(), (da.sum(axis=0) * (gap >= 0)).ravel())
     grad["bias"] = flat
-    scale = np.float32(WIDTH**-0.5)
-    every = np.concatenate([np.matmul(da, k * scale), np.matmul(da.transpose(0, 2, 1), q * scale), np.matmul(a.transpose(0, 2, 1), dh), dh], axis=2).reshape(-1, len(BY_PIECE) * WIDTH)
-    flat_ids = ids.ravel()
-    order = np.argsort(flat_ids, kind="stable")
-    ranked = flat_ids[order]
-    cuts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-    used = ranked[cuts]
-    every = np.add.reduceat(every[order], cuts, axis=0)
+    da *= np.float32(WIDTH**-0.5)
+    dq, dk, dv, every[:, :, 3 * WIDTH :] = (*(every[:, :, n * WIDTH : (n + 1) * WIDTH] for n in range(3)), dh)
+    np.matmul(da, k, out=dq)
+    np.matmul(da.transpose(0, 2, 1), q, out=dk)
+    np.matmul(a.transpose(0, 2, 1), dh, out=dv)
+    used, every = summed_rows(ids.ravel(), every.reshape(-1, len(BY_PIECE) * WIDTH))
     for c, g in grad.items():
         first[c] = 0.9 * first[c] + 0.1 * g
         second[c] = 0.99 * second[c] + 0.01 * g * g
         setattr(m, c, (getattr(m, c) - lr * (first[c] / (1 - 0.9**step)) / (np.sqrt(second[c] / (1 - 0.99**step)) + 1e-8)).astype(np.float32))
-    for n, c in enumerate(BY_PIECE):
-        g, table = every[:, n * WIDTH : (n + 1) * WIDTH], getattr(m, c)
-        f = first[c][used] * np.float32(0.9) + np.float32(0.1) * g
-        s = second[c][used] * np.float32(0.99) + np.float32(0.01) * g * g
-        first[c][used], second[c][used] = f, s
-        table[used] -= np.float32(0.3 * lr) * f / (np.sqrt(s) + np.float32(1e-8))
+    f, s = first["table"][used], second["table"][used]
+    f *= np.float32(0.9)
+    s *= np.float32(0.99)
+    f += np.float32(0.1) * every
+    every *= every
+    every *= np.float32(0.01)
+    s += every
+    first["table"][used], second["table"][used] = f, s
+    np.sqrt(s, out=s)
+    s += np.float32(1e-8)
+    f /= s
+    f *= np.float32(0.3 * lr)
+    adam.table[used] -= f
+
+
+def summed_rows(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids and for each the sum of its rows."""
+    order = np.argsort(ids.astype(np.uint16) if ids.max(initial=0) < 1 << 16 else ids, kind="stable")  # the narrow type is sorted by radix
+    ranked = ids[order]
+    cuts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    number = np.diff(np.append(cuts, len(ranked)))
+    rows = rows.take(order, axis=0)
+    out = rows.take(cuts, axis=0)
+    for k in range(1, 4):  # ids with few rows, of which there are many, at once
+        own = np.flatnonzero((number > k) & (number <= 4))
+        out[own] += rows.take(cuts[own] + k, axis=0)
+    one, many = np.ones(number.max(initial=1), np.float32), np.flatnonzero(number > 4)
+    for i, at, n in zip(many.tolist(), cuts[many].tolist(), number[many].tolist()):
+        out[i] = one[:n] @ rows[at : at + n]
+    return ranked[cuts], out
 
 
 def train(m: Attention, sequences: np.ndarray, steps: int = STEPS, seed: int = 0, rate: float = 0.02) -> Attention:
@@ -224,7 +277,7 @@ def over_all(texts: DataFrame, start: Attention, path: str, end: int, size: int)
         m = deepcopy(shared.value)
         adam, seen, windows = Adam(m), np.zeros(end + 1, np.int64), 0
         for batch in chunks(batches, "text"):
-            words, per = split_words(_lowered(pa.table({"text": batch.column("text")})))
+            words, per = split_words(_lowered(batch))
             coded = pc.dictionary_encode(words)
             ids, n = pieces_of(coded.dictionary.to_pylist(), path)
             sequence = _laid_out(ids.astype(np.int64), n, coded.indices.to_numpy(), per, end)[0]
@@ -273,10 +326,12 @@ def class_scores(m: Attention, ids: np.ndarray, bounds: np.ndarray, end: int, he
     both = np.concatenate([m.key, m.value], axis=1)
     own_table = np.concatenate([m.query * np.float32(WIDTH**-0.5), m.rest], axis=1)
     kind = m.kind[ids]
+    weights, buffer, rows = np.concatenate([m.out, m.out_bias[None]]), np.empty((SLICE, CLASSES), np.float32), np.arange(SLICE)
+    sides = np.stack([np.arange(CLASSES) < heads, np.arange(CLASSES) >= heads], axis=1).astype(np.float32)
     for s in range(0, len(begin), batch):
         place = begin[s : s + batch, None] + span
         x = shifted[np.clip(place, 0, n - 1)]
-        kv, qr = both[x], own_table[x[:, pad:]]
+        kv, qr = both.take(x, axis=0), own_table.take(x[:, pad:], axis=0)
         a = np.matmul(qr[:, :, :WIDTH], kv[:, :, :WIDTH].transpose(0, 2, 1))
         a += mask
         np.exp(a, out=a)
@@ -284,18 +339,24 @@ def class_scores(m: Attention, ids: np.ndarray, bounds: np.ndarray, end: int, he
         if len(first):
             a[first] *= (place[first] >= low[s : s + batch][first, None])[:, None, :]
         v = np.matmul(a, kv[:, :, WIDTH:])
-        v /= a.sum(axis=2, keepdims=True) + np.float32(TINY)
+        v /= (a.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32) + np.float32(TINY)).reshape(*a.shape[:2], 1)
         v += qr[:, :, WIDTH:]
         to = place[:, pad:].ravel()
         good = np.flatnonzero(to < np.repeat(high[s : s + batch], STRIDE))
         to = to[good]
-        logits = v.reshape(-1, WIDTH)[good] @ m.out
-        logits += m.out_bias
-        np.exp(logits, out=logits)
-        start = logits[:, :heads].sum(axis=1)
-        total = start + logits[:, heads:].sum(axis=1) + np.float32(TINY)
-        out[to] = np.log(logits[np.arange(len(to)), kind[to]] / total + np.float32(TINY))
-        begins[to] = np.log(start / total + np.float32(TINY))
+        held = np.ones((len(to), WIDTH + 1), np.float32)
+        held[:, :WIDTH] = v.reshape(-1, WIDTH)[good]
+        own, whole = np.empty(len(to), np.float32), np.empty((len(to), 2), np.float32)
+        wanted = kind[to]
+        for i in range(0, len(to), SLICE):
+            p = buffer[: len(to) - i]
+            np.matmul(held[i : i + SLICE], weights, out=p)
+            np.exp(p, out=p)
+            np.matmul(p, sides, out=whole[i : i + SLICE])
+            own[i : i + SLICE] = p[rows[: len(p)], wanted[i : i + SLICE]]
+        total = whole[:, 0] + whole[:, 1] + np.float32(TINY)
+        out[to] = np.log(own / total + np.float32(TINY))
+        begins[to] = np.log(whole[:, 0] / total + np.float32(TINY))
     return out, begins
 
 
@@ -343,19 +404,45 @@ def pieces_of(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(chain.from_iterable(ids), np.uint16, int(n.sum())), n
 
 
-def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct words of each block's rows in a piece of text, lower-cased, and how often each stands in its training documents."""
+def _packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Runs of values as bytes: the first ends[0], those up to ends[1] and so on."""
+    ends = (np.concatenate([[0], ends]) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def _unpacked(packed: pa.ChunkedArray | pa.Array, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(packed.to_pylist()), kind)
+
+
+def _unjoined(joined: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts in which blanks join them, in one flat array, and how many each has."""
+    lists = pc.split_pattern(joined.combine_chunks().cast(pa.string()), " ")
+    return pc.list_flatten(lists), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _block_words(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """The distinct words of each block's rows in a piece of text, lower-cased, and how often each stands in its training
+    documents. A row holds those of a block that fall into a bucket, joined by blanks, which no word has."""
     for batch in chunks(batches, "text", BLOCK_BYTES):
         words, counts = split_words(_lowered(batch))
         learn = np.repeat(batch.column("learn").to_numpy(zero_copy_only=False), counts)
         coded = pc.dictionary_encode(words)
         kinds = len(coded.dictionary)
+        if not kinds:
+            continue
+        hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), np.uint64, kinds)
         blocks, own = np.unique(batch.column("block").to_numpy(), return_inverse=True)
         key = np.repeat(own, counts) * kinds + coded.indices.to_numpy()
         seen = np.bincount(key, minlength=len(blocks) * kinds)
         at = np.flatnonzero(seen)
-        times = np.bincount(key[learn], minlength=len(seen))[at]
-        yield pa.RecordBatch.from_arrays([pa.array(blocks[at // max(1, kinds)]), coded.dictionary.take(pa.array(at % max(1, kinds))).cast(pa.string()), pa.array(times.astype(np.int64))], ["block", "word", "n"])
+        times = np.bincount(key[learn], minlength=len(seen))[at].astype(np.int64)
+        place = (at // kinds) * buckets + (hashed % np.uint64(buckets)).astype(np.int64)[at % kinds]
+        order = np.argsort(place, kind="stable")
+        place, at = place[order], at[order]
+        ends = np.append(np.flatnonzero(place[1:] != place[:-1]) + 1, len(place))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), coded.dictionary.take(pa.array(at % kinds)).cast(pa.string()))
+        place = place[ends - 1]
+        yield pa.RecordBatch.from_arrays([pa.array(place % buckets), pa.array(blocks[place // buckets]), pc.binary_join(lists, " "), _packed(times[order], ends)], ["bucket", "block", "words", "n"])
 
 
 def _lowered(docs: pa.Table | pa.RecordBatch) -> pa.Array:
@@ -370,47 +457,54 @@ def score_texts(docs: DataFrame, training: Column, path: str | None = None, samp
     rows, file, pos = located(docs)
     slim = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("learn"), F.col(file).alias("file"), F.col(pos).alias("pos"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    size, number = slim.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    size, number, ends = slim.agg(F.sum(F.octet_length("text")), F.count("*"), F.count_if("learn")).first()
     size = size or 0
     slim = slim.withColumn("block", F.xxhash64("file", F.floor(F.col("pos") / max(1, BLOCK_BYTES * number // max(1, size))))).drop("file", "pos")
     by_block = slim.groupBy("block")
-    words = staged(slim.select("block", "text", "learn").mapInArrow(_block_words, "block long, word string, n long"), "block-words")
+    buckets = max(1, size // BUCKET_BYTES)
+    words = staged(slim.select("block", "text", "learn").mapInArrow(lambda x: _block_words(x, buckets), "bucket long, block long, words string, n binary"), "block-words")
+
+    def costed(table: pa.Table) -> pa.Table:
+        """Of a bucket: the words of each block with their counts in the whole corpus and their pieces; and without a block, its pieces' counts."""
+        flat, per = _unjoined(table.column("words"))
+        coded = pc.dictionary_encode(flat)
+        where = coded.indices.to_numpy()
+        c = np.zeros(len(coded.dictionary), np.int64)
+        np.add.at(c, where, _unpacked(table.column("n"), np.int64))
+        ids, n = pieces_of(coded.dictionary.to_pylist(), path)
+        times = np.bincount(ids, weights=np.repeat(c, n))
+        used = np.flatnonzero(times)
+        summary = np.concatenate([used, [ALL, KINDS, ONCE]]), np.concatenate([times[used], [c.sum(), (c > 0).sum(), (c == 1).sum()]]).astype(np.int64)
+        ends, number = np.cumsum(per), n[where]
+        pieces = ids[ragged((np.cumsum(n) - n)[where], number)]
+        rows = [table.column("block").combine_chunks(), table.column("words").combine_chunks(), _packed(c[where], ends), _packed(number.astype(np.int32), ends), _packed(pieces, np.cumsum(number)[ends - 1])]
+        last = [pa.array([None], pa.int64()), pa.array([None], pa.string()), pa.array([summary[1].tobytes()]), pa.array([b""]), pa.array([summary[0].tobytes()])]
+        return pa.table([pa.chunked_array([x, y.cast(x.type)]) for x, y in zip(rows, last)], ["block", "words", "c", "n", "ids"])
 
     # what a word costs is looked up once for the whole corpus
-    counted = words.groupBy("word").agg(F.sum("n").alias("c"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat, n = pieces_of(batch.column("word").to_pylist(), path)
-            ends = np.concatenate([[0], np.cumsum(2 * n)]).astype(np.int32)
-            raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat.tobytes())])
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), raw], ["word", "c", "ids"])
-
-    table = staged(counted.mapInArrow(cut, "word string, c long, ids binary"), "words")
-    total = table.where("c > 0").agg(F.sum("c"), F.count("*")).first()
-    ends = slim.where("learn").count()
-    n_all, n_kinds = (total[0] or 0) + ends, total[1] + (1 if ends else 0)
+    table = staged(words.groupBy("bucket").applyInArrow(costed, "block long, words string, c binary, n binary, ids binary"), "words")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                raw = batch.column("ids").to_pylist()
-                ids = np.frombuffer(b"".join(raw), np.uint16)
-                c = np.repeat(batch.column("c").to_numpy(), [len(r) // 2 for r in raw])
-                times = np.bincount(ids, weights=c)
-                used = np.flatnonzero(times)
-                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(times[used].astype(np.int64))], ["id", "n"])
+                ids, place = np.unique(_unpacked(batch.column("ids"), np.int64), return_inverse=True)
+                times = np.zeros(len(ids), np.int64)
+                np.add.at(times, place, _unpacked(batch.column("c"), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(times)], ["id", "n"])
+
+    totals = {r["id"]: r["n"] for r in table.where("block is null").select("ids", "c").mapInArrow(tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}  # a row for each piece
+    total, kinds, once = (totals.pop(k, 0) for k in (ALL, KINDS, ONCE))
+    n_all, n_kinds = total + ends, kinds + (1 if ends else 0)
 
     size_of = tokenizer(path).get_piece_size()
     end = size_of
     counts = np.full(end + 1, 0.05)
-    for r in table.where("c > 0").select("ids", "c").mapInArrow(tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row for each piece
-        counts[r["id"]] += r["n"]
+    for i, n in totals.items():
+        counts[i] += n
     counts[end] += ends
     group, heads = classes(counts, path, end)
     mass = np.bincount(group, weights=counts, minlength=CLASSES)
     within = (np.log(counts) - np.log(mass[group])).astype(np.float64)
-    once = table.where("c = 1").count()
     known_share = min(0.98, max(0.5, 1 - once / max(1, n_all)))
 
     share = min(1.0, sample_chars / max(1, size))
@@ -423,17 +517,16 @@ def score_texts(docs: DataFrame, training: Column, path: str | None = None, samp
     start = train(initial(end + 1, group, mass / mass.sum()), sequence, steps)
     model = bounded(over_all(slim.where("learn and text <> ''").select("text"), start, path, end, size))
 
-    found = words.select("block", "word").join(table, "word").select("block", "word", "c", "ids")
+    found = table.where("block is not null")
     shared = spark.sparkContext.broadcast((model, within, heads, counts))  # of the vocabulary's size
 
     def run(docs: pa.Table, known: pa.Table) -> pa.Table:
         m, inner, heads, pieces = shared.value
         text, per = split_words(_lowered(docs))
-        where = pc.index_in(text, value_set=known.column("word").combine_chunks()).to_numpy()
-        c = known.column("c").to_numpy()
-        raw = known.column("ids").to_pylist()
-        flat = np.frombuffer(b"".join(raw), np.uint16).astype(np.int64)
-        n = np.fromiter(map(len, raw), np.int64, len(raw)) // 2
+        where = pc.index_in(text, value_set=_unjoined(known.column("words"))[0]).to_numpy()
+        c = _unpacked(known.column("c"), np.int64)
+        flat = _unpacked(known.column("ids"), np.uint16).astype(np.int64)
+        n = _unpacked(known.column("n"), np.int32).astype(np.int64)
         cost = np.log10((c + 0.5) / (n_all + 0.5 * (n_kinds + 1)))
         end_cost = np.log10((ends + 0.5) / (n_all + 0.5 * (n_kinds + 1)))
         edge = np.concatenate([[0], np.cumsum(per)])

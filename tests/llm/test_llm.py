@@ -558,3 +558,39 @@ def test_windows_score_each_piece_once_as_a_plain_model_does():
             w = np.exp(m.query[inputs[i]] @ m.key[seen].T * scoring.WIDTH**-0.5 + m.bias[i - np.arange(low, i + 1)])
             logits = (w @ m.value[seen] / w.sum() + m.rest[inputs[i]]) @ m.out + m.out_bias
             assert got[a + i] == pytest.approx(logits[group[ids[a + i]]] - np.log(np.exp(logits).sum()), abs=1e-3)
+
+
+def test_words_of_blocks_travel_packed():
+    rng = random.Random(5)
+    texts = [" ".join(f"W{rng.randrange(900)}" for _ in range(rng.randrange(200))) + "\té ü" * (k % 2) for k in range(60)] + ["", " \t"]
+    learn, blocks = [k % 3 > 0 for k in range(62)], [k // 25 for k in range(62)]
+    batch = pa.RecordBatch.from_pydict({"block": blocks, "text": texts, "learn": learn})
+    got, places, rows = defaultdict(int), defaultdict(set), 0
+    for out in scoring._block_words(iter([batch, batch.slice(0, 0)]), 7):
+        words, per = scoring._unjoined(pa.chunked_array([out.column("words")]))
+        times = scoring._unpacked(out.column("n"), np.int64)
+        where = np.repeat(np.arange(out.num_rows), per).tolist()
+        for r, w, n in zip(where, words.to_pylist(), times.tolist()):
+            got[out.column("block")[r].as_py(), w] += n
+            places[w].add(out.column("bucket")[r].as_py())
+        rows += out.num_rows
+    want = Counter()
+    for b, t, x in zip(blocks, texts, learn):
+        want.update({(b, re.sub("[A-Z]", lambda m: m.group().lower(), w)): n * x for w, n in Counter(t.split()).items()})
+    assert got == dict(want) and all(len(x) == 1 for x in places.values()) and len(set.union(*places.values())) == 7
+    assert rows <= 3 * 7 < len(want) / 20
+
+
+def test_steps_follow_the_plain_gradient():
+    rng = np.random.default_rng(2)
+    m = scoring.initial(50, np.arange(51) % scoring.CLASSES, np.full(scoring.CLASSES, 1 / scoring.CLASSES))
+    for scale in (1, 60):  # the second is beyond what needs no bound
+        h = np.concatenate([rng.normal(size=(1300, scoring.WIDTH)) * scale, np.ones((1300, 1))], axis=1).astype(np.float32)
+        target, dh = rng.integers(0, scoring.CLASSES, 1300), np.zeros((1300, scoring.WIDTH), np.float32)
+        grad = scoring.output_gradient(m, h, target, dh)
+        p = np.exp(np.minimum(h.astype(float) @ np.concatenate([m.out, m.out_bias[None]]), 80))
+        p = (p / p.sum(axis=1, keepdims=True) - np.eye(scoring.CLASSES)[target]) / 1300
+        assert np.allclose(grad["out"], h[:, :-1].T @ p, atol=1e-4) and np.allclose(grad["out_bias"], p.sum(axis=0), atol=1e-5) and np.allclose(dh, p @ m.out.T, atol=1e-6)
+    ids, rows = rng.integers(0, 40, 500) ** 2 // 30, rng.normal(size=(500, 8)).astype(np.float32)
+    used, sums = scoring.summed_rows(ids, rows)
+    assert used.tolist() == sorted(set(ids.tolist())) and all(np.allclose(s, rows[ids == i].sum(axis=0), atol=1e-4) for i, s in zip(used, sums))
