@@ -24,34 +24,38 @@ from .common import WHITESPACE, connected_components, documents, shared_dir, sta
 TAU, MIN_CHARS = 2, 24
 
 
-def segment(i: int, length: Column, tau: int) -> tuple[Column, Column]:
+def segment(i: Column, length: Column, tau: int) -> tuple[Column, Column]:
     """(start from 1, length) of the i-th of tau + 1 even segments; the last ones take what is over."""
     base = F.floor(length / (tau + 1)).cast("int")
     short = tau + 1 - (length - base * (tau + 1))
-    start = base * (i - 1) + F.greatest(F.lit(0), F.lit(i - 1) - short) + 1
-    return start, base + F.when(F.lit(i) > short, 1).otherwise(0)
+    start = base * (i - 1) + F.greatest(F.lit(0), i - 1 - short) + 1
+    return start, base + F.when(i > short, 1).otherwise(0)
 
 
-def index_keys(tau: int) -> Column:
-    keys = []
-    for i in range(1, tau + 2):
-        start, size = segment(i, F.col("len"), tau)
-        keys.append(F.xxhash64(F.lit(i), F.col("len"), F.col("line").substr(start, size)))
-    return F.array(*keys)
+def index_places(tau: int) -> list[tuple[int, int, int]]:
+    """(segment, 0, 0) for each segment, under which a line is indexed."""
+    return [(i, 0, 0) for i in range(1, tau + 2)]
 
 
-def probe_keys(tau: int) -> Column:
-    """Substrings to look up for the indexed lengths len - tau .. len. Places outside the line give null."""
-    keys = []
-    for delta in range(tau + 1):
-        length = F.col("len") - delta
-        for i in range(1, tau + 2):
-            start, size = segment(i, length, tau)
-            for shift in range(max(1 - i, delta - (tau + 1 - i)), min(i - 1, delta + (tau + 1 - i)) + 1):
-                at = start + shift
-                sound = (at >= 1) & (at + size - 1 <= F.col("len"))
-                keys.append(F.when(sound, F.xxhash64(F.lit(i), length, F.col("line").substr(at, size))))
-    return F.array_distinct(F.array_compact(F.array(*keys)))
+def probe_places(tau: int) -> list[tuple[int, int, int]]:
+    """(segment, how much shorter the indexed line is, shift): where a line may hold a segment of lines of len - tau .. len."""
+    shifts = lambda i, delta: range(max(1 - i, delta - (tau + 1 - i)), min(i - 1, delta + (tau + 1 - i)) + 1)
+    return [(i, delta, shift) for delta in range(tau + 1) for i in range(1, tau + 2) for shift in shifts(i, delta)]
+
+
+def keyed(each: DataFrame, places: list[tuple[int, int, int]], tau: int) -> DataFrame:
+    """(h, k): the keys of each line's substrings at places, those outside the line left out.
+
+    Only constants are exploded, and keys made of the rows that come out: Spark interprets what stands in a generator, and
+    compiles what comes after it.
+    """
+    at = F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("i", "delta", "shift"), p))) for p in places)))
+    rows = each.select("h", "line", "len", at.alias("at")).select("h", "line", "len", "at.*")
+    length = F.col("len") - F.col("delta")
+    start, size = segment(F.col("i"), length, tau)
+    start = start + F.col("shift")
+    sound = (start >= 1) & (start + size - 1 <= F.col("len"))
+    return rows.where(sound).select("h", F.xxhash64("i", length, F.col("line").substr(start, size)).alias("k"))
 
 
 def _bound(value: Column, use) -> Column:
@@ -136,37 +140,47 @@ def digest(line: Column) -> Column:
 def exploded(docs: DataFrame, *keep: str) -> DataFrame:
     lines = F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line")
     held = docs.select(*keep, F.col("doc_id").cast("long").alias("doc_id"), lines)
-    return held.withColumn("key", digest(F.col("line"))).withColumn("blank", F.col("line").rlike(f"^{WHITESPACE}*$"))
+    short = F.octet_length(F.ltrim("line", F.lit(" \t\n\v\f\r"))) <= 3  # few lines need the expression: `$` lets one line terminator follow
+    return held.withColumn("key", digest(F.col("line"))).withColumn("blank", short & F.col("line").rlike(f"^{WHITESPACE}*$"))
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, line_no, key) of each line of each row of docs, equal lines together; a blank line has a key of its own.
+
+    All who read it need all its columns, so that Spark makes it once.
+    """
+    rows = exploded(docs.withColumn("row", F.monotonically_increasing_id()), "row")
+    own = F.encode(F.concat_ws(":", "row", "line_no"), "utf-8")
+    return rows.select("row", "doc_id", "line_no", F.when(F.col("blank"), own).otherwise(F.col("key")).alias("key")).repartition("key")
 
 
 def edit_pairs(lines: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
     """(x, y) for all pairs of different texts in column line, of min_chars or more, within tau edits.
 
     Texts cross the network once, to a partition by their hash h, where equal ones become one; rows of the segment join
-    hold h alone, and the few candidates come back to the same partitions for their texts. Texts of one hash stay a set.
+    hold h alone, and the few candidates come back to the same partitions for their texts. Different texts of one hash
+    stay apart.
     """
     long = lines.where(F.length("line") >= max(min_chars, tau + 1)).select("line", F.xxhash64("line").alias("h"))
-    groups = long.groupBy("h").agg(F.collect_set("line").alias("lines"))
-    each = groups.select("h", F.explode("lines").alias("line")).withColumn("len", F.length("line"))
-    index = each.select("h", F.explode(index_keys(tau)).alias("k"))
-    probe = each.select(F.col("h").alias("h2"), F.explode(probe_keys(tau)).alias("k"))
+    each = long.repartition("h").distinct().withColumn("len", F.length("line"))
+    index, probe = keyed(each, index_places(tau), tau), keyed(each, probe_places(tau), tau).withColumnRenamed("h", "h2")
     met = index.join(probe, "k").where("h <> h2").select(F.least("h", "h2").alias("h1"), F.greatest("h", "h2").alias("h2")).distinct()
-    met = met.union(groups.where(F.size("lines") > 1).select(F.col("h").alias("h1"), F.col("h").alias("h2")))
+    met = met.union(each.groupBy("h").count().where("count > 1").select(F.col("h").alias("h1"), F.col("h").alias("h2")))
     side = lambda k: F.struct(F.col(f"h{k}").alias("h"), F.lit(k).alias("side"))
     ends = met.select("h1", "h2", F.explode(F.array(side(1), side(2))).alias("end")).select("h1", "h2", "end.h", "end.side")
-    found = ends.join(groups, "h").groupBy("h1", "h2").agg(*(F.first(F.when(F.col("side") == k, F.col("lines")), ignorenulls=True).alias(f"s{k}") for k in (1, 2)))
+    texts = ends.join(each.select("h", "line"), "h")
+    found = texts.groupBy("h1", "h2").agg(*(F.collect_list(F.when(F.col("side") == k, F.col("line"))).alias(f"s{k}") for k in (1, 2)))
     pairs = found.select("h1", "h2", F.explode("s1").alias("x"), "s2").select("h1", "h2", "x", F.explode("s2").alias("y"))
     pairs = pairs.where("(h1 <> h2 or x < y) and abs(length(x) - length(y)) <= %d" % tau)
     return pairs.where(edit_distance(F.col("x"), F.col("y"), tau) <= tau).select("x", "y")
 
 
 def line_classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(key, first_doc, first_line, near): for each distinct line where its class first occurs, and whether that holds other texts."""
+    """(key, first_doc, first_line, near): for each key of placed where its class first occurs, and whether that holds other texts."""
     shared_dir(docs.sparkSession)
-    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "line_no")
-    lines = exploded(docs).where(~F.col("blank"))
-    found = lines.groupBy("key").agg(F.min(place).alias("place"))
-    links = edit_pairs(lines, tau, min_chars).select(digest(F.col("x")).alias("a"), digest(F.col("y")).alias("b")).checkpoint()
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "line_no", "row")
+    found = placed(docs).groupBy("key").agg(F.min(place).alias("place"))
+    links = edit_pairs(exploded(docs).where(~F.col("blank")), tau, min_chars).select(digest(F.col("x")).alias("a"), digest(F.col("y")).alias("b")).checkpoint()
     nodes = links.select(F.col("a").alias("key")).union(links.select("b")).distinct()
     nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "lines")
     edges = links.join(nodes.toDF("a", "u"), "a").join(nodes.toDF("b", "v"), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
@@ -179,10 +193,9 @@ def line_classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) ->
 
 def marked_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
     """(row, doc_id, line_no, removed, near), a row for each line of each row of docs."""
-    rows = exploded(docs.withColumn("row", F.monotonically_increasing_id()), "row").select("row", "doc_id", "line_no", "key", "blank")
-    joined = rows.join(line_classes(docs, tau, min_chars), "key", "left")
-    stays = F.col("blank") | (F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("line_no") == F.col("first_line")))
-    return joined.select("row", "doc_id", "line_no", (~stays).alias("removed"), (~F.col("blank") & F.coalesce("near", F.lit(False))).alias("near"))
+    joined = placed(docs).join(line_classes(docs, tau, min_chars), "key")
+    stays = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("line_no") == F.col("first_line"))
+    return joined.select("row", "doc_id", "line_no", (~stays).alias("removed"), "near")
 
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

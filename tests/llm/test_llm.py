@@ -348,6 +348,23 @@ def test_lines(spark, docs):
     assert lines.marked_lines(docs).count() == sum((r.text or "").count("\n") + 1 for r in docs.collect())
 
 
+def test_keys_of_lines_are_compiled_and_texts_of_one_hash_stay_apart(spark, monkeypatch):
+    texts = [f"{k:02d} a line that is long enough {k * k * 7919}" for k in range(12)] + ["03 a line that is long enough 7127x", " " * 30 + "\u2028", " " * 30]
+    df = spark.createDataFrame([(t,) for t in texts], "line string")
+    plan = lines.edit_pairs(df)._jdf.queryExecution().optimizedPlan().toString()
+    generators = [x for x in plan.splitlines() if "Generate explode" in x]
+    assert generators and not any("hash" in x or "substr" in x for x in generators)
+    want = {frozenset((x, y)) for x in texts for y in texts if x < y and edits(x, y) <= 2}
+    hashed = F.xxhash64
+    for few in (1 << 40, 4):
+        monkeypatch.setattr(lines.F, "xxhash64", lambda *c, few=few: hashed(*c) if len(c) > 1 else F.pmod(hashed(*c), F.lit(few)))
+        assert {frozenset((r.x, r.y)) for r in lines.edit_pairs(df).collect()} == want and len(want) > 1
+    monkeypatch.undo()
+    rows = spark.createDataFrame([(None, "\t\n\u2028\na line that is long enough"), (2, "\u2028\n\ta\n\ta\na line that is long enough\n\t"), (2, "\ta")], "doc_id long, text string")
+    got = Counter((r.doc_id, r.line_no) for r in lines.marked_lines(rows).collect() if r.removed)
+    assert got == Counter([(None, 2), (2, 1), (2, 2)])
+
+
 def removed(texts, window):
     words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
     count = Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))
