@@ -131,7 +131,7 @@ def output_gradient(m: Attention, h: np.ndarray, target: np.ndarray, dh: np.ndar
     rows = len(target)
     out = np.concatenate([m.out, m.out_bias[None]])
     back = np.concatenate([m.out, np.ones((1, CLASSES), np.float32)]).T.copy()  # the last column sums
-    risky = np.sqrt((h**2).sum(axis=1).max() * (out**2).sum(axis=0).max()) > 80
+    risky = np.sqrt(np.einsum("ij,ij->i", h, h).max() * (out**2).sum(axis=0).max()) > 80
     grad, buffer, at = np.zeros_like(out), np.empty((min(rows, SLICE), CLASSES), np.float32), np.arange(SLICE)
     for i in range(0, rows, SLICE):
         own, p = h[i : i + SLICE], buffer[: rows - i]
@@ -275,12 +275,12 @@ def over_all(texts: DataFrame, start: Attention, path: str, end: int, size: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = deepcopy(shared.value)
-        adam, seen, windows = Adam(m), np.zeros(end + 1, np.int64), 0
+        adam, seen, windows, known = Adam(m), np.zeros(end + 1, np.int64), 0, Known(path)
         for batch in chunks(batches, "text"):
             words, per = split_words(_lowered(batch))
             coded = pc.dictionary_encode(words)
-            ids, n = pieces_of(coded.dictionary.to_pylist(), path)
-            sequence = _laid_out(ids.astype(np.int64), n, coded.indices.to_numpy(), per, end)[0]
+            where = known.places(coded.dictionary)[coded.indices.to_numpy()]
+            sequence = _laid_out(known.ids, known.n, where, per, end)[0]
             windows += go_over(m, adam, sequence, end)
             seen += np.bincount(sequence, minlength=end + 1)
         if windows:
@@ -303,7 +303,7 @@ def over_all(texts: DataFrame, start: Attention, path: str, end: int, size: int)
     return changed(start, [r["raw"] for r in sorted(parts.collect(), key=lambda r: r["part"])])
 
 
-def class_scores(m: Attention, ids: np.ndarray, bounds: np.ndarray, end: int, heads: int, batch: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+def class_scores(m: Attention, ids: np.ndarray, bounds: np.ndarray, end: int, heads: int, batch: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Natural logarithms, for each piece, of its class's probability and of that of all classes below heads, the ones that begin a word.
 
     Each follows from the pieces before it in its text and window; a text begins after an end.
@@ -327,7 +327,7 @@ def class_scores(m: Attention, ids: np.ndarray, bounds: np.ndarray, end: int, he
     own_table = np.concatenate([m.query * np.float32(WIDTH**-0.5), m.rest], axis=1)
     kind = m.kind[ids]
     weights, buffer, rows = np.concatenate([m.out, m.out_bias[None]]), np.empty((SLICE, CLASSES), np.float32), np.arange(SLICE)
-    sides = np.stack([np.arange(CLASSES) < heads, np.arange(CLASSES) >= heads], axis=1).astype(np.float32)
+    ones = np.ones(CLASSES, np.float32)
     for s in range(0, len(begin), batch):
         place = begin[s : s + batch, None] + span
         x = shifted[np.clip(place, 0, n - 1)]
@@ -346,17 +346,18 @@ def class_scores(m: Attention, ids: np.ndarray, bounds: np.ndarray, end: int, he
         to = to[good]
         held = np.ones((len(to), WIDTH + 1), np.float32)
         held[:, :WIDTH] = v.reshape(-1, WIDTH)[good]
-        own, whole = np.empty(len(to), np.float32), np.empty((len(to), 2), np.float32)
+        own, whole = np.empty(len(to), np.float32), np.empty((2, len(to)), np.float32)
         wanted = kind[to]
         for i in range(0, len(to), SLICE):
             p = buffer[: len(to) - i]
             np.matmul(held[i : i + SLICE], weights, out=p)
             np.exp(p, out=p)
-            np.matmul(p, sides, out=whole[i : i + SLICE])
+            np.matmul(p[:, :heads], ones[:heads], out=whole[0, i : i + SLICE])
+            np.matmul(p[:, heads:], ones[heads:], out=whole[1, i : i + SLICE])
             own[i : i + SLICE] = p[rows[: len(p)], wanted[i : i + SLICE]]
-        total = whole[:, 0] + whole[:, 1] + np.float32(TINY)
+        total = whole[0] + whole[1] + np.float32(TINY)
         out[to] = np.log(own / total + np.float32(TINY))
-        begins[to] = np.log(whole[:, 0] / total + np.float32(TINY))
+        begins[to] = np.log(whole[0] / total + np.float32(TINY))
     return out, begins
 
 
@@ -404,6 +405,25 @@ def pieces_of(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(chain.from_iterable(ids), np.uint16, int(n.sum())), n
 
 
+class Known:
+    """The words that a task has met, with their pieces: ids one after another, n of each word."""
+
+    def __init__(self, path: str):
+        self.path, self.words, self.ids, self.n = path, pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """The numbers of distinct words; those not met before are cut into pieces."""
+        at = pc.index_in(words, value_set=self.words)
+        new = words.filter(pc.is_null(at))
+        at = pc.fill_null(at, -1).to_numpy().astype(np.int64)
+        at[at < 0] = len(self.words) + np.arange(len(new))
+        if len(new):
+            ids, n = pieces_of(new.to_pylist(), self.path)
+            self.words = pa.concat_arrays([self.words, new.cast(pa.string())])
+            self.ids, self.n = np.concatenate([self.ids, ids.astype(np.int64)]), np.concatenate([self.n, n])
+        return at
+
+
 def _packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     """Runs of values as bytes: the first ends[0], those up to ends[1] and so on."""
     ends = (np.concatenate([[0], ends]) * values.itemsize).astype(np.int32)

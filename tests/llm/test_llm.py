@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -598,6 +599,31 @@ def test_words_of_blocks_travel_packed():
     assert rows <= 3 * 7 < len(want) / 20
 
 
+def test_a_task_cuts_each_word_once(monkeypatch):
+    cut, path = [], scoring.default_model()
+    plain = scoring.pieces_of
+    monkeypatch.setattr(scoring, "pieces_of", lambda words, path: cut.extend(words) or plain(words, path))
+    known = scoring.Known(path)
+    for words in (["one", "two", "\u4e00x"], [], ["two", "three", "one"], ["three"]):
+        at = known.places(pa.array(words, pa.string()))
+        ids, n = plain(words, path)
+        begin = np.cumsum(known.n) - known.n
+        assert known.n[at].tolist() == n.tolist()
+        assert [known.ids[begin[i] + k] for i in at for k in range(known.n[i])] == ids.tolist()
+    assert cut == ["one", "two", "\u4e00x", "three"]
+    texts = pa.RecordBatch.from_arrays([pa.array(["one two", "two three", "one three"])], ["text"])
+    cut.clear()
+    known = scoring.Known(path)
+    monkeypatch.setattr(scoring, "Known", lambda path: known)
+    runs = []
+    frame = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda m: SimpleNamespace(value=m))), mapInArrow=lambda run, schema: runs.append(run) or SimpleNamespace(collect=lambda: []))
+    end = scoring.tokenizer(path).get_piece_size()
+    start = scoring.initial(end + 1, np.zeros(end + 1, np.int64), np.full(scoring.CLASSES, 1 / scoring.CLASSES))
+    scoring.over_all(frame, start, path, end, 1)
+    monkeypatch.setattr(scoring, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    assert len(list(runs[0](iter([texts.slice(k, 1) for k in range(3)])))) == 1 and cut == ["one", "two", "three"]
+
+
 def test_steps_follow_the_plain_gradient():
     rng = np.random.default_rng(2)
     m = scoring.initial(50, np.arange(51) % scoring.CLASSES, np.full(scoring.CLASSES, 1 / scoring.CLASSES))
