@@ -31,6 +31,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from copy import deepcopy
 from dataclasses import dataclass, replace
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -108,44 +109,64 @@ class Adam:
         self.second = {c: np.zeros_like(getattr(m, c)) for c in DENSE} | {"table": np.zeros_like(self.table)}
 
 
-def attended(m: Attention, q: np.ndarray, k: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Attention weights and what they gather, for windows of queries, keys and values; and the distances."""
-    n = q.shape[1]
+@cache
+def gaps(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs of n positions, row by row: how far the second lies before the first, below zero if behind it; and a column for each distance, 1 where a pair has it."""
     gap = np.arange(n)[:, None] - np.arange(n)[None, :]
-    mask = np.where(gap >= 0, m.bias[np.clip(gap, 0, WINDOW - 1)], np.float32(-1e9)).astype(np.float32)
-    a = np.matmul(q, k.transpose(0, 2, 1))
+    return gap, (gap.reshape(-1, 1) == np.arange(WINDOW)).astype(np.float32)
+
+
+def attended(m: Attention, q: np.ndarray, k: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Attention weights and what they gather, for windows of queries, keys and values."""
+    n = q.shape[1]
+    gap = gaps(n)[0]
+    a = np.matmul(q, turned(k))
     a *= np.float32(WIDTH**-0.5)
-    a += mask
-    np.clip(a, -60, 60, out=a)
+    risky = max(a.max(), -a.min()) + np.abs(m.bias).max() > 60
+    a += np.where(gap >= 0, m.bias[np.clip(gap, 0, WINDOW - 1)], np.float32(-1e9)).astype(np.float32)
+    if risky:
+        np.clip(a, -60, 60, out=a)
     np.exp(a, out=a)
-    a *= (gap >= 0).astype(np.float32)
+    if risky:
+        a *= (gap >= 0).astype(np.float32)
     a /= (a.reshape(-1, n) @ np.ones(n, np.float32)).reshape(*a.shape[:2], 1)
-    return a, np.matmul(a, v), gap
+    return a, np.matmul(a, v)
+
+
+def turned(x: np.ndarray) -> np.ndarray:
+    """Each matrix of x transposed, as a copy: products of many small matrices are faster so."""
+    return np.ascontiguousarray(x.transpose(0, 2, 1))
 
 
 def output_gradient(m: Attention, h: np.ndarray, target: np.ndarray, dh: np.ndarray) -> dict[str, np.ndarray]:
-    """The gradients of the mean cross entropy of the classes in target: of out and out_bias, and in dh that of h, which ends in a column of ones.
+    """The gradients of the mean cross entropy of the classes in target: of out and out_bias, and in dh that of h. Of h only the first WIDTH columns are read.
 
     Rows are taken SLICE at a time, as much as a core's cache holds, and never normalised: their sums go into h and dh.
+    Nor is the bias added to them: its exponentials are factors of the classes.
     """
-    rows = len(target)
-    out = np.concatenate([m.out, m.out_bias[None]])
-    back = np.concatenate([m.out, np.ones((1, CLASSES), np.float32)]).T.copy()  # the last column sums
-    risky = np.sqrt(np.einsum("ij,ij->i", h, h).max() * (out**2).sum(axis=0).max()) > 80
-    grad, buffer, at = np.zeros_like(out), np.empty((min(rows, SLICE), CLASSES), np.float32), np.arange(SLICE)
+    rows, h = len(target), h[:, :WIDTH]
+    risky = np.sqrt(np.einsum("ij,ij->i", h, h).max() * (m.out**2).sum(axis=0).max()) + np.abs(m.out_bias).max() > 40
+    factor = np.ones(CLASSES, np.float32) if risky else np.exp(m.out_bias)
+    back, own_factor = (m.out * factor).T.copy(), factor.take(target)
+    out, bias, buffer = np.zeros((WIDTH, CLASSES), np.float32), np.zeros(CLASSES, np.float32), np.empty(min(rows, SLICE) * CLASSES, np.float32)
+    place = np.arange(rows) % SLICE * CLASSES + target
     for i in range(0, rows, SLICE):
-        own, p = h[i : i + SLICE], buffer[: rows - i]
-        np.matmul(own, out, out=p)
+        own, to = h[i : i + SLICE], dh[i : i + SLICE]
+        p = buffer[: len(own) * CLASSES].reshape(-1, CLASSES)
+        np.matmul(own, m.out, out=p)
         if risky:
+            p += m.out_bias
             np.minimum(p, np.float32(80), out=p)
         np.exp(p, out=p)
-        through = p @ back
-        p[at[: len(p)], target[i : i + SLICE]] -= through[:, -1]
-        share = np.float32(1 / rows) / through[:, -1:]
-        np.multiply(through[:, :-1], share, out=dh[i : i + SLICE])
-        grad += (own * share).T @ p
-    dh -= np.float32(1 / rows) * m.out.T.take(target, axis=0)
-    return {"out": grad[:-1], "out_bias": grad[-1]}
+        total = p @ factor
+        share = np.float32(1 / rows) / total
+        np.matmul(p, back, out=to)
+        to *= share[:, None]
+        buffer[place[i : i + SLICE]] -= total / own_factor[i : i + SLICE]
+        out += (own * share[:, None]).T @ p
+        bias += share @ p
+    dh -= (np.float32(1 / rows) * m.out.T).take(target, axis=0)
+    return {"out": out * factor, "out_bias": bias * factor}
 
 
 def learn(m: Attention, adam: Adam, window: np.ndarray, lr: float) -> None:
@@ -153,32 +174,27 @@ def learn(m: Attention, adam: Adam, window: np.ndarray, lr: float) -> None:
     adam.step += 1
     step, first, second = adam.step, adam.first, adam.second
     ids, target = window[:, :-1], m.kind[window[:, 1:]].ravel()
-    rows = adam.table.take(ids, axis=0)
-    q, k, v, rest = (rows[:, :, n * WIDTH : (n + 1) * WIDTH] for n in range(len(BY_PIECE)))
-    a, h, gap = attended(m, q, k, v)
-    held = np.ones((*ids.shape, WIDTH + 1), np.float32)
-    np.add(h, rest, out=held[:, :, :WIDTH])
-    every = np.empty_like(rows)
-    dh = np.empty((target.size, WIDTH), np.float32)
-    grad = output_gradient(m, held.reshape(-1, WIDTH + 1), target, dh)
-    dh = dh.reshape(h.shape)
-    da = np.matmul(dh, v.transpose(0, 2, 1))
+    rows, at = adam.table.reshape(-1, WIDTH), ids * len(BY_PIECE)  # a piece's rows follow each other; taken one by one, each part is contiguous
+    q, k, v, rest = (rows.take(at + n, axis=0) for n in range(len(BY_PIECE)))
+    a, h = attended(m, q, k, v)
+    gathered = h + rest
+    every = np.empty((len(BY_PIECE), *h.shape), np.float32)
+    dq, dk, dv, dh = every
+    grad = output_gradient(m, gathered.reshape(-1, WIDTH), target, dh.reshape(-1, WIDTH))
+    da = np.matmul(dh, turned(v))
     da -= np.einsum("bij,bij->bi", dh, h)[:, :, None]  # the mean of da under a, whose weights gather h
     da *= a
-    flat = np.zeros(WINDOW, np.float32)
-    np.add.at(flat, np.clip(gap, 0, WINDOW - 1).ravel(), (da.sum(axis=0) * (gap >= 0)).ravel())
-    grad["bias"] = flat
+    grad["bias"] = np.ones(len(da), np.float32) @ da.reshape(len(da), -1) @ gaps(ids.shape[1])[1]
     da *= np.float32(WIDTH**-0.5)
-    dq, dk, dv, every[:, :, 3 * WIDTH :] = (*(every[:, :, n * WIDTH : (n + 1) * WIDTH] for n in range(3)), dh)
     np.matmul(da, k, out=dq)
     np.matmul(da.transpose(0, 2, 1), q, out=dk)
     np.matmul(a.transpose(0, 2, 1), dh, out=dv)
-    used, every = summed_rows(ids.ravel(), every.reshape(-1, len(BY_PIECE) * WIDTH))
+    used, every = summed_rows(ids.ravel(), every.reshape(len(BY_PIECE), -1, WIDTH))
     for c, g in grad.items():
         first[c] = 0.9 * first[c] + 0.1 * g
         second[c] = 0.99 * second[c] + 0.01 * g * g
         setattr(m, c, (getattr(m, c) - lr * (first[c] / (1 - 0.9**step)) / (np.sqrt(second[c] / (1 - 0.99**step)) + 1e-8)).astype(np.float32))
-    f, s = first["table"][used], second["table"][used]
+    f, s = first["table"].take(used, axis=0), second["table"].take(used, axis=0)
     f *= np.float32(0.9)
     s *= np.float32(0.99)
     f += np.float32(0.1) * every
@@ -194,19 +210,19 @@ def learn(m: Attention, adam: Adam, window: np.ndarray, lr: float) -> None:
 
 
 def summed_rows(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ids and for each the sum of its rows."""
+    """The distinct ids and for each the sum of its rows. Rows in several parts, an array for each, give sums side by side."""
     order = np.argsort(ids.astype(np.uint16) if ids.max(initial=0) < 1 << 16 else ids, kind="stable")  # the narrow type is sorted by radix
     ranked = ids[order]
     cuts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
     number = np.diff(np.append(cuts, len(ranked)))
-    rows = rows.take(order, axis=0)
+    rows = (np.concatenate(rows, axis=1) if rows.ndim > 2 else rows).take(order, axis=0)
     out = rows.take(cuts, axis=0)
-    for k in range(1, 4):  # ids with few rows, of which there are many, at once
-        own = np.flatnonzero((number > k) & (number <= 4))
+    for k in range(1, 8):  # ids with few rows, of which there are many, at once
+        own = np.flatnonzero((number > k) & (number <= 8))
         out[own] += rows.take(cuts[own] + k, axis=0)
-    one, many = np.ones(number.max(initial=1), np.float32), np.flatnonzero(number > 4)
+    one, many = np.ones(number.max(initial=1), rows.dtype), np.flatnonzero(number > 8)
     for i, at, n in zip(many.tolist(), cuts[many].tolist(), number[many].tolist()):
-        out[i] = one[:n] @ rows[at : at + n]
+        np.dot(one[:n], rows[at : at + n], out=out[i])
     return ranked[cuts], out
 
 
@@ -321,43 +337,41 @@ def class_scores(m: Attention, ids: np.ndarray, bounds: np.ndarray, end: int, he
         shifted[bounds[:-1][size > 0]] = end
     low, high = bounds[:-1][text], bounds[1:][text]
     span = np.arange(-pad, STRIDE)
-    gap = np.arange(pad, WINDOW)[:, None] - np.arange(WINDOW)[None, :]
+    gap = gaps(WINDOW)[0][pad:]
     mask = np.where(gap >= 0, m.bias[np.clip(gap, 0, WINDOW - 1)], np.float32(-80)).astype(np.float32)
-    both = np.concatenate([m.key, m.value], axis=1)
-    own_table = np.concatenate([m.query * np.float32(WIDTH**-0.5), m.rest], axis=1)
-    kind = m.kind[ids]
-    weights, buffer, rows = np.concatenate([m.out, m.out_bias[None]]), np.empty((SLICE, CLASSES), np.float32), np.arange(SLICE)
-    ones = np.ones(CLASSES, np.float32)
+    query, key, value, rest = (np.ascontiguousarray(x) for x in (m.query * np.float32(WIDTH**-0.5), m.key, m.value, m.rest))
+    kind, factor = m.kind[ids], np.exp(m.out_bias)  # the bias's exponentials are factors of the classes
+    sides = np.stack([factor * (np.arange(CLASSES) < heads), factor * (np.arange(CLASSES) >= heads)], axis=1)
+    buffer, rows = np.empty(SLICE * CLASSES, np.float32), np.arange(batch * STRIDE) % SLICE * CLASSES
     for s in range(0, len(begin), batch):
         place = begin[s : s + batch, None] + span
-        x = shifted[np.clip(place, 0, n - 1)]
-        kv, qr = both.take(x, axis=0), own_table.take(x[:, pad:], axis=0)
-        a = np.matmul(qr[:, :, :WIDTH], kv[:, :, :WIDTH].transpose(0, 2, 1))
+        x = shifted.take(place, mode="clip")
+        k, v = key.take(x, axis=0), value.take(x, axis=0)
+        a = np.matmul(query.take(x[:, pad:], axis=0), turned(k))
         a += mask
         np.exp(a, out=a)
         first = np.flatnonzero(place[:, 0] < low[s : s + batch])  # a text's first windows: what lies before it has no weight
         if len(first):
             a[first] *= (place[first] >= low[s : s + batch][first, None])[:, None, :]
-        v = np.matmul(a, kv[:, :, WIDTH:])
-        v /= (a.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32) + np.float32(TINY)).reshape(*a.shape[:2], 1)
-        v += qr[:, :, WIDTH:]
+        h = np.matmul(a, v).reshape(-1, WIDTH)
+        h /= (a.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32) + np.float32(TINY))[:, None]
+        h += rest.take(x[:, pad:].ravel(), axis=0)
         to = place[:, pad:].ravel()
         good = np.flatnonzero(to < np.repeat(high[s : s + batch], STRIDE))
-        to = to[good]
-        held = np.ones((len(to), WIDTH + 1), np.float32)
-        held[:, :WIDTH] = v.reshape(-1, WIDTH)[good]
-        own, whole = np.empty(len(to), np.float32), np.empty((2, len(to)), np.float32)
+        if len(good) < len(to):
+            to, h = to[good], h.take(good, axis=0)
+        own, whole = np.empty(len(to), np.float32), np.empty((len(to), 2), np.float32)
         wanted = kind[to]
+        at = rows[: len(to)] + wanted
         for i in range(0, len(to), SLICE):
-            p = buffer[: len(to) - i]
-            np.matmul(held[i : i + SLICE], weights, out=p)
+            p = buffer[: min(SLICE, len(to) - i) * CLASSES].reshape(-1, CLASSES)
+            np.matmul(h[i : i + SLICE], m.out, out=p)
             np.exp(p, out=p)
-            np.matmul(p[:, :heads], ones[:heads], out=whole[0, i : i + SLICE])
-            np.matmul(p[:, heads:], ones[heads:], out=whole[1, i : i + SLICE])
-            own[i : i + SLICE] = p[rows[: len(p)], wanted[i : i + SLICE]]
-        total = whole[0] + whole[1] + np.float32(TINY)
-        out[to] = np.log(own / total + np.float32(TINY))
-        begins[to] = np.log(whole[0] / total + np.float32(TINY))
+            np.matmul(p, sides, out=whole[i : i + SLICE])
+            buffer.take(at[i : i + SLICE], out=own[i : i + SLICE], mode="clip")
+        total = whole[:, 0] + whole[:, 1] + np.float32(TINY)
+        out[to] = np.log(own * factor.take(wanted) / total + np.float32(TINY))
+        begins[to] = np.log(whole[:, 0] / total + np.float32(TINY))
     return out, begins
 
 
@@ -399,6 +413,10 @@ def classes(counts: np.ndarray, path: str, end: int) -> tuple[np.ndarray, int]:
     return group, heads
 
 
+def _strings(words: pa.Array) -> list[str]:
+    return words.to_numpy(zero_copy_only=False).tolist()  # to_pylist makes a scalar of each first
+
+
 def pieces_of(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     ids = tokenizer(path).encode(words, num_threads=1)
     n = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -418,7 +436,7 @@ class Known:
         at = pc.fill_null(at, -1).to_numpy().astype(np.int64)
         at[at < 0] = len(self.words) + np.arange(len(new))
         if len(new):
-            ids, n = pieces_of(new.to_pylist(), self.path)
+            ids, n = pieces_of(_strings(new), self.path)
             self.words = pa.concat_arrays([self.words, new.cast(pa.string())])
             self.ids, self.n = np.concatenate([self.ids, ids.astype(np.int64)]), np.concatenate([self.n, n])
         return at
@@ -450,7 +468,7 @@ def _block_words(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa
         kinds = len(coded.dictionary)
         if not kinds:
             continue
-        hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), np.uint64, kinds)
+        hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, _strings(coded.dictionary)), np.uint64, kinds)
         blocks, own = np.unique(batch.column("block").to_numpy(), return_inverse=True)
         key = np.repeat(own, counts) * kinds + coded.indices.to_numpy()
         seen = np.bincount(key, minlength=len(blocks) * kinds)
@@ -491,7 +509,7 @@ def score_texts(docs: DataFrame, training: Column, path: str | None = None, samp
         where = coded.indices.to_numpy()
         c = np.zeros(len(coded.dictionary), np.int64)
         np.add.at(c, where, _unpacked(table.column("n"), np.int64))
-        ids, n = pieces_of(coded.dictionary.to_pylist(), path)
+        ids, n = pieces_of(_strings(coded.dictionary), path)
         times = np.bincount(ids, weights=np.repeat(c, n))
         used = np.flatnonzero(times)
         summary = np.concatenate([used, [ALL, KINDS, ONCE]]), np.concatenate([times[used], [c.sum(), (c > 0).sum(), (c == 1).sum()]]).astype(np.int64)
@@ -532,7 +550,7 @@ def score_texts(docs: DataFrame, training: Column, path: str | None = None, samp
     taken = [r["text"] for r in chosen.select(F.substring("text", 1, sample_chars).alias("text")).toLocalIterator()]
     flat, per = split_words(pc.ascii_lower(pa.array(taken, pa.string())))
     coded = pc.dictionary_encode(flat)
-    ids, n = pieces_of(coded.dictionary.to_pylist(), path)
+    ids, n = pieces_of(_strings(coded.dictionary), path)
     sequence = _laid_out(ids.astype(np.int64), n, coded.indices.to_numpy(), per, end)[0]
     start = train(initial(end + 1, group, mass / mass.sum()), sequence, steps)
     model = bounded(over_all(slim.where("learn and text <> ''").select("text"), start, path, end, size))

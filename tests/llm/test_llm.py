@@ -637,3 +637,42 @@ def test_steps_follow_the_plain_gradient():
     ids, rows = rng.integers(0, 40, 500) ** 2 // 30, rng.normal(size=(500, 8)).astype(np.float32)
     used, sums = scoring.summed_rows(ids, rows)
     assert used.tolist() == sorted(set(ids.tolist())) and all(np.allclose(s, rows[ids == i].sum(axis=0), atol=1e-4) for i, s in zip(used, sums))
+
+
+def test_a_step_takes_parts_that_lie_apart():
+    """The output's gradient needs no column for the bias, sums of rows take parts side by side, and a whole step's gradients are those of plain loops."""
+    rng = np.random.default_rng(4)
+    ids, parts = rng.integers(0, 60, 700) ** 2 // 40, rng.normal(size=(3, 700, 4)).astype(np.float32)
+    used, sums = scoring.summed_rows(ids, parts)
+    assert used.tolist() == sorted(set(ids.tolist()))
+    assert np.allclose(sums, [np.concatenate(parts[:, ids == i].sum(axis=1)) for i in used], atol=1e-4)
+    for scale in (0.3, 9):  # the second is beyond what needs no bound
+        m = scoring.initial(30, np.arange(30) % scoring.CLASSES, np.full(scoring.CLASSES, 1 / scoring.CLASSES))
+        for c in (*scoring.BY_PIECE, "out", "out_bias", "bias"):
+            setattr(m, c, (rng.normal(size=getattr(m, c).shape) * scale).astype(np.float32))
+        assert (max(np.abs(m.query @ m.key.T).max() / 4, np.abs(m.rest @ m.out).max()) > 60) == (scale > 1)
+        window = rng.integers(0, 30, (5, scoring.WINDOW + 1))
+        table, bias, out, out_bias = (x.astype(float) for x in (np.concatenate([getattr(m, c) for c in scoring.BY_PIECE], axis=1), m.bias, m.out, m.out_bias))
+        want, flat, n = np.zeros_like(table), np.zeros(scoring.WINDOW), window[:, 1:].size
+        dout, dbias = np.zeros_like(out), np.zeros_like(out_bias)
+        for w in window:
+            q, k, v, rest = np.split(table[w[:-1]], 4, axis=1)
+            for i in range(scoring.WINDOW):
+                a = np.exp(np.clip(k[: i + 1] @ q[i] / 4 + bias[i::-1], -60, 60))
+                a /= a.sum()
+                h = a @ v[: i + 1]
+                p = np.exp(np.minimum((h + rest[i]) @ out + out_bias, 80))
+                p /= p.sum()
+                p[m.kind[w[i + 1]]] -= 1
+                dout, dbias, dh = dout + np.outer(h + rest[i], p) / n, dbias + p / n, out @ p / n
+                da = a * ((v[: i + 1] - h) @ dh)
+                flat[i::-1] += da
+                want[w[i]] += np.concatenate([da @ k[: i + 1] / 4, np.zeros(32), dh])
+                np.add.at(want, w[: i + 1], np.concatenate([np.zeros((i + 1, 16)), np.outer(da, q[i]) / 4, np.outer(a, dh), np.zeros((i + 1, 16))], axis=1))
+        adam = scoring.Adam(m)
+        scoring.learn(m, adam, window, 0.01)
+        for got, plain in ((adam.first["table"], want), (adam.first["bias"], flat), (adam.first["out"], dout), (adam.first["out_bias"], dbias)):
+            assert np.allclose(got, 0.1 * plain, atol=1e-4 * np.abs(plain).max())
+        h, target, dh = rng.normal(size=(600, scoring.WIDTH)).astype(np.float32), rng.integers(0, scoring.CLASSES, 600), np.zeros((600, scoring.WIDTH), np.float32)
+        longer = np.concatenate([h, np.ones((600, 1), np.float32)], axis=1)
+        assert all(np.array_equal(a, b) for a, b in zip(scoring.output_gradient(m, h, target, dh).values(), scoring.output_gradient(m, longer, target, dh * 0).values()))
